@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloft.llm import quality
+from graphloft.llm import mixing, quality, secrets
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2,
+        "op3_source_mixing": mixing.op3,
+        "op7_secret_scans": secrets.op7,
     }
 
 
