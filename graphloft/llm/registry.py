@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloft.llm import mixing, quality, secrets
+from graphloft.llm import decontaminate, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -10,8 +10,11 @@ def queries() -> dict:
         "op2_quality_rules": quality.op2,
         "op3_source_mixing": mixing.op3,
         "op7_secret_scans": secrets.op7,
+        "op8_decontamination": decontaminate.op8,
     }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {
+        "op8_decontamination": decontaminate.SQL,
+    }
