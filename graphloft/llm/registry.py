@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloft.llm import decontaminate, mixing, quality, secrets
+from graphloft.llm import decontaminate, jaccard, mixing, quality, secrets
 
 
 def queries() -> dict:
@@ -11,10 +11,12 @@ def queries() -> dict:
         "op3_source_mixing": mixing.op3,
         "op7_secret_scans": secrets.op7,
         "op8_decontamination": decontaminate.op8,
+        "op9_ngram_jaccard": jaccard.op9,
     }
 
 
 def oracle_sql() -> dict:
     return {
         "op8_decontamination": decontaminate.SQL,
+        "op9_ngram_jaccard": jaccard.SQL,
     }
