@@ -311,10 +311,18 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the row of smallest id of each component; rows without an id stay."""
-    keep = classes(docs).filter("doc_id = component_id OR doc_id IS NULL").select("doc_id").distinct()
-    first = docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi")
-    return first
+    """The pipeline's stage: the document of smallest id of each component.
+
+    Rows without an id stay. Of rows with one id and one text, one stays; such rows are
+    few in a sound corpus, and only they are sorted.
+    """
+    keep = stage(classes(docs).filter("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_twice")), "jac-keep")
+    own = docs.join(keep.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"))
+    out = docs.filter("doc_id IS NULL").unionByName(own.filter("NOT _twice").select(*docs.columns))
+    if keep.filter("_twice").isEmpty():
+        return out
+    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
+    return out.unionByName(own.filter("_twice").withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns))
 
 
 SQL = r"""
