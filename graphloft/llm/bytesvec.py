@@ -62,11 +62,11 @@ def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.nd
         lo = hi
 
 
-def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True, spaces: np.ndarray = SPACES) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the index of each row's first word (with an end)."""
+def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True, spaces: np.ndarray = SPACES, prefixes: tuple = ()) -> tuple:
+    """Hashes of all words in order, the index of each row's first word (with an end), and hashes of the words' starts."""
     n = len(data)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(off), np.int64), *[np.zeros(0, np.uint64) for _ in prefixes]
     if lower:
         data = LOWER[data]
     inside = ~spaces[data]
@@ -78,8 +78,10 @@ def word_hashes(data: np.ndarray, off: np.ndarray, lower: bool = True, spaces: n
     first, last = np.flatnonzero(starts), np.flatnonzero(ends)
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(_WEIGHT[data] * _powers(_BASE, n)[:n], out=total[1:])
-    h = (total[last + 1] - total[first]) * _powers(_INVERSE, n)[first]
-    return mix(h + (last - first).astype(np.uint64) * _STEP[0]), np.searchsorted(first, off)
+    back, begun = _powers(_INVERSE, n)[first], total[first]
+    h = (total[last + 1] - begun) * back
+    short = [mix((total[np.minimum(first + k, last + 1)] - begun) * back + np.uint64(k)) for k in prefixes]
+    return mix(h + (last - first).astype(np.uint64) * _STEP[0]), np.searchsorted(first, off), *short
 
 
 def shingle_hashes(words: np.ndarray, at: np.ndarray, k: int) -> Iterator[np.ndarray]:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from graphloft.llm import decontaminate, jaccard, mixing, quality, secrets
+from graphloft.llm import decontaminate, jaccard, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict:
     return {
         "op2_quality_rules": quality.op2,
         "op3_source_mixing": mixing.op3,
+        "op4_toxicity": toxicity.op4,
         "op7_secret_scans": secrets.op7,
         "op8_decontamination": decontaminate.op8,
         "op9_ngram_jaccard": jaccard.op9,
