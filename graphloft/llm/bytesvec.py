@@ -48,7 +48,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
 
 def blocks(texts: pa.Array, size: int = BLOCK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, row offsets in them); null texts are empty."""
-    texts = texts.cast(pa.large_string()).fill_null("")
+    texts = texts.cast(pa.large_binary()).fill_null(b"")
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()
     if not len(texts):

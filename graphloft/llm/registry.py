@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from graphloft.llm import decontaminate, jaccard, language, mixing, quality, secrets, tokens, toxicity, warc
+from graphloft.llm import decontaminate, jaccard, language, mixing, quality, secrets, suffixes, tokens, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.op1,
         "op2_quality_rules": quality.op2,
         "op3_source_mixing": mixing.op3,
         "op4_toxicity": toxicity.op4,
@@ -21,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     return {
+        "op1_suffix_dedup": suffixes.SQL,
         "op5_warc": warc.SQL,
         "op8_decontamination": decontaminate.SQL,
         "op9_ngram_jaccard": jaccard.SQL,
