@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloft.storage import drop, new_path, shared_dir, stage  # noqa: F401
+
 #: Fixed values of the contracts: what separates words, and word patterns.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -17,45 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as the cluster names it.
-
-    Where nothing is named (tests on one machine) a temporary folder is made and
-    set once for the session's context.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    own = getattr(spark.sparkContext, "_graphloft_shared", None)
-    if own is None:
-        own = tempfile.mkdtemp(prefix="graphloft-")
-        spark.sparkContext._graphloft_shared = own
-    return own
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
-
-
-def stage(df: DataFrame, label: str) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = new_path(spark, label)
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._graphloft_path = path
-    return out
-
-
-def drop(df: DataFrame) -> None:
-    """Removes what stage() wrote for df, once nothing reads it any more."""
-    path = getattr(df, "_graphloft_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
-
-
 def words(text: Column) -> Column:
     """Words of a whole text; null and blank texts have none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
