@@ -37,6 +37,8 @@ from __future__ import annotations
 
 import gc
 import math
+import time
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -194,13 +196,16 @@ def signatures(docs: DataFrame, common: np.ndarray, top: int) -> DataFrame:
 
 
 def contents(docs: DataFrame) -> DataFrame:
-    """(mark, n, els): the sets of docs."""
+    """(mark, n, els): the sets of those rows of docs (text, mark) whose set is the one that mark names."""
 
     def work(batches):
         marks, ns, els, size = [], [], [], 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(marks, pa.int64()), pa.array(ns, pa.int64()), pa.array(els, pa.list_(pa.int64()))], ["mark", "n", "els"])
-        for _, _, s in _sets(batches):
-            marks.append(_mark(s))
+        for batch, j, s in _sets(batches):
+            m = _mark(s)
+            if m != batch.column(batch.schema.get_field_index("mark"))[j].as_py():
+                continue  # another row with the same id
+            marks.append(m)
             ns.append(len(s))
             els.append(s.view(np.int64))
             size += len(s)
@@ -210,7 +215,7 @@ def contents(docs: DataFrame) -> DataFrame:
         if marks:
             yield pack()
 
-    return docs.select("text").mapInArrow(work, "mark long, n long, els array<long>")
+    return docs.select("text", "mark").mapInArrow(work, "mark long, n long, els array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -230,18 +235,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs (a, b) with linked: whether their sets are similar enough."""
+    """pairs (a, b) with linked: whether their sets are similar enough.
+
+    `sets` is bucketed by mark, so only pairs move, and once more with one set each. The
+    pivot's set is joined first: what is shuffled next is dealt by the other member.
+    """
     one = sets.select(F.col("mark").alias("a"), F.col("n").alias("na"), F.col("els").alias("ea"))
     two = sets.select(F.col("mark").alias("b"), F.col("n").alias("nb"), F.col("els").alias("eb"))
     both = F.size(F.array_intersect("ea", "eb"))
     like = (F.least("na", "nb") * DENOM >= F.greatest("na", "nb") * NUMER) & (both * DENOM >= NUMER * (F.col("na") + F.col("nb") - both))
-    return pairs.join(two, "b").join(one, "a").select("a", "b", like.alias("linked"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", like.alias("linked"))
 
 
 def _free(spark: SparkSession) -> None:
     """Lets Spark remove shuffle files that nothing refers to any more."""
-    gc.collect()
-    spark._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame | None:
@@ -257,36 +268,53 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
     del sigs
     _free(spark)
     member = bucket.select("mark").distinct()
-    chosen = rows.join(member, "mark", "left_semi").groupBy("mark").agg(F.min("doc_id").alias("doc_id"))
-    chosen = stage(chosen.select("mark", F.coalesce("doc_id", F.lit(-(2**63))).alias("id")), "jac-rep")
+    chosen = rows.join(member, "mark", "left_semi").groupBy("mark").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
-    sets = contents(texts.join(chosen.select("id").distinct(), "id", "left_semi"))
-    sets = stage(sets.join(chosen.select("mark"), "mark", "left_semi").dropDuplicates(["mark"]), "jac-set")
+    name = f"jaccard_sets_{uuid.uuid4().hex[:12]}"
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    contents(texts.join(chosen, "id").select("text", "mark")).repartition(n, "mark").write.bucketBy(n, "mark").format("parquet").saveAsTable(name)
+    try:
+        _free(spark)
+        return _linked(bucket, spark.table(name), spark)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
+def _linked(bucket: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFrame | None:
+    """(v, root) from the buckets (sig, mark) of candidates and their sets."""
+    group = Window.partitionBy("sig")
     label, found, tried = None, None, None
+    open_ = bucket.withColumn("root", F.col("mark"))
     for t in range(ROUNDS + 1):
-        b = bucket
-        if label is not None:
-            b = b.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        else:
-            b = b.withColumn("root", F.col("mark"))
         if t < ROUNDS:  # one pivot for each bucket, another one in each round
             pivot = F.min(F.struct(F.xxhash64(F.lit(t), "mark").alias("h"), "mark", "root")).over(group)
-            p = b.withColumn("p", pivot).filter("p.root <> root").select(F.least("p.mark", "mark").alias("a"), F.greatest("p.mark", "mark").alias("b"), "mark")
+            p = open_.withColumn("p", pivot).filter("p.root <> root").select(F.col("p.mark").alias("a"), F.col("mark").alias("b"))
             if t == 0:  # each member with the pivot that it meets most often
-                p = p.groupBy("mark", "a", "b").count().groupBy("mark").agg(F.max_by(F.struct("a", "b"), F.struct("count", "a", "b")).alias("p")).select("p.*")
+                p = p.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
             p = p.select("a", "b").distinct()
         else:
-            other = b.select("sig", F.col("mark").alias("b"), F.col("root").alias("rb"))
-            mixed = b.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).filter("lo < hi")
-            p = mixed.join(other, "sig").filter("mark < b AND root <> rb").select(F.col("mark").alias("a"), "b").distinct()
+            other = open_.select("sig", F.col("mark").alias("b"), F.col("root").alias("rb"))
+            p = open_.join(other, "sig").filter("mark < b AND root <> rb").select(F.col("mark").alias("a"), "b").distinct()
         if tried is not None:
             p = p.join(tried, ["a", "b"], "left_anti")
         seen = stage(_verified(p, sets), f"jac-pair{t}")
         new = seen.filter("linked").select("a", "b")
-        tried = seen.select("a", "b") if tried is None else tried.union(seen.select("a", "b"))
+        both = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tried = both if tried is None else tried.union(both)
         if not new.isEmpty():
             found = new if found is None else found.union(new)
             label = components(found)
+        if t < ROUNDS:
+            rooted = open_.select("sig", "mark")
+            if label is not None:
+                rooted = rooted.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+            else:
+                rooted = rooted.withColumn("root", F.col("mark"))
+            mixed = rooted.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).filter("lo < hi")
+            open_ = stage(mixed.select("sig", "mark", "root"), "jac-open")
+            _free(spark)
+            if open_.isEmpty():
+                break
     return label
 
 

@@ -111,4 +111,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents that the rules keep."""
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return judge(docs, model).filter("kept").select(*docs.columns)
+    # A plain filter would be pushed below the verdict, with every step of it written out
+    # again inside its condition; rows leave through a generator instead.
+    row = F.explode_outer(F.when(F.col("kept"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
+    return judge(docs, model).select(row.alias("row")).filter("row IS NOT NULL").select("row.*")
