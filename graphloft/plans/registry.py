@@ -20,7 +20,7 @@ from graphloft.operators import search as S
 from graphloft.operators import traverse as T
 from graphloft.operators.analytics import strong_components, topological_levels
 from graphloft.plans.query import run, suggestions
-from graphloft.sources.markup import page_ids, page_links, page_scripts
+from graphloft.sources.markup import page_classes, page_links, page_scripts
 from graphloft.sources.projection import OFFSET
 from graphloft.sources.projection import SQL as GRAPH
 from graphloft.sources.projection import graph
@@ -366,20 +366,21 @@ def capped_modules(spark, sf):
 
 # Resolution
 _REFS = """
-defs AS (SELECT 5000000 + p_partkey AS id, CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS repo_id, 'd/' || p_brand AS path, 'm::' || lower(split_part(p_name, ' ', 1)) || CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS symbol FROM part),
+defs AS (SELECT 5000000 + p_partkey AS id, CASE WHEN CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 50 < 25 ELSE p_size % 2 = 0 END THEN 'a' ELSE 'b' END AS repo_id, 'd/' || p_brand AS path, 'm::' || lower(split_part(p_name, ' ', CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 2 END)) || CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS symbol FROM part),
 names AS (SELECT id, repo_id, path, string_split(symbol, '::')[-1] AS name FROM defs),
 refs AS (
-  SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS repo_id, 'd/' || p_brand AS path, 5000000 + p_partkey AS src, lower(split_part(p_name, ' ', 2)) || CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'INHERITS' ELSE 'CALL' END AS kind, p_partkey % 7 = 0 AS is_member FROM part)"""
+  SELECT DISTINCT CASE WHEN p_size % 2 = 0 THEN 'a' ELSE 'b' END AS repo_id, 'd/' || p_brand AS path, 5000000 + p_partkey AS src, lower(split_part(p_name, ' ', CASE WHEN p_partkey % 4 < 2 THEN 2 ELSE 1 END)) || CASE WHEN p_partkey % 3 = 0 THEN CAST(p_partkey % 50 AS VARCHAR) ELSE '' END AS name, CASE WHEN p_partkey % 5 = 0 THEN 'INHERITS' ELSE 'CALL' END AS kind, p_partkey % 7 = 0 AS is_member FROM part)"""
 
 
 def _refs(spark, sf):
     p = _t(spark, sf, "part")
     tail = F.when(F.col("p_partkey") % 3 == 0, (F.col("p_partkey") % 50).cast("string")).otherwise("")
-    word = lambda i: F.concat(F.lower(F.split_part("p_name", F.lit(" "), F.lit(i))), tail)
+    word = lambda i: F.concat(F.lower(F.split_part("p_name", F.lit(" "), i)), tail)
     own = [F.when(F.col("p_size") % 2 == 0, "a").otherwise("b").alias("repo_id"), F.concat(F.lit("d/"), "p_brand").alias("path")]
     i = F.lit(5_000_000) + F.col("p_partkey")
-    defs = p.select(i.alias("id"), *own, F.concat(F.lit("m::"), word(1)).alias("symbol"))
-    refs = p.select(*own, i.alias("src"), word(2).alias("name"), F.when(F.col("p_partkey") % 5 == 0, "INHERITS").otherwise("CALL").alias("kind"), (F.col("p_partkey") % 7 == 0).alias("is_member"))
+    home = F.when(F.when(F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 50 < 25).otherwise(F.col("p_size") % 2 == 0), "a").otherwise("b")
+    defs = p.select(i.alias("id"), home.alias("repo_id"), own[1], F.concat(F.lit("m::"), word(F.when(F.col("p_partkey") % 2 == 0, 1).otherwise(2))).alias("symbol"))
+    refs = p.select(*own, i.alias("src"), word(F.when(F.col("p_partkey") % 4 < 2, 2).otherwise(1)).alias("name"), F.when(F.col("p_partkey") % 5 == 0, "INHERITS").otherwise("CALL").alias("kind"), (F.col("p_partkey") % 7 == 0).alias("is_member"))
     return defs, refs
 
 
@@ -623,10 +624,10 @@ def bm25_topk(spark, sf):
     return S.bm25(posts, rows, "token the", 20, stemmed=False).select("id", "rank")
 
 
-@query(f"WITH {_TERMS} SELECT id FROM post WHERE term IN ('db', 'database', 'store', 'repository', 'sql', 'storage') OR term = 'ner' GROUP BY id HAVING bool_or(term = 'ner')")
+@query(f"WITH {_TERMS} SELECT id FROM post WHERE term IN ('und', 'sich') GROUP BY id HAVING count(*) = 2")
 def find_all_hits(spark, sf):
     rows = _t(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("body"))
-    return S.find_all(S.postings(rows, ("body",), stemmed=False), rows, "ner", stemmed=False).select("id")
+    return S.find_all(S.postings(rows, ("body",), stemmed=False), rows, "und Sich", stemmed=False).select("id")
 
 
 _VEC = "v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), q AS (SELECT v AS q FROM v WHERE id = 0)"
@@ -652,9 +653,9 @@ def vector_two_stage(spark, sf):
     return S.vector_two_stage(_vectors(spark, sf), _q(spark, sf), 10).select("id")
 
 
-@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.6")
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.4")
 def similar_pairs(spark, sf):
-    return S.similar_pairs(_vectors(spark, sf), 0.6).select("a", "b")
+    return S.similar_pairs(_vectors(spark, sf), 0.4).select("a", "b")
 
 
 _LISTS = "l AS (SELECT 'x' AS list, doc_id AS id, row_number() OVER (ORDER BY n_chars DESC, doc_id) - 1 AS rank0 FROM documents QUALIFY rank0 < 50 UNION ALL SELECT 'y', doc_id, row_number() OVER (ORDER BY doc_id DESC) - 1 AS rank0 FROM documents QUALIFY rank0 < 300)"
@@ -690,9 +691,9 @@ def _page_scripts(spark, sf):
     return page_scripts(_t(spark, sf, "pages"))
 
 
-@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '\sid="([^"]+)"', 1))) AS symbol FROM pages""", name="page_ids")
-def _page_ids(spark, sf):
-    return page_ids(_t(spark, sf, "pages"))
+@query(r"""SELECT page_id, unnest(list_distinct(regexp_extract_all(html, '\sclass="([^"]+)"', 1))) AS symbol FROM pages""", name="page_classes")
+def _page_classes(spark, sf):
+    return page_classes(_t(spark, sf, "pages"))
 
 
 # Analytics

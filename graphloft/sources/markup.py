@@ -20,6 +20,11 @@ def page_scripts(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.size(_all(r"(<script)")).cast("long").alias("scripts"), F.size(_all(r'<script[^>]*\ssrc="([^"]*)"')).cast("long").alias("sources"))
 
 
+def page_classes(pages: DataFrame) -> DataFrame:
+    """(page_id, symbol): element classes as written, each once."""
+    return pages.select("page_id", F.explode(F.array_distinct(_all(r'\sclass="([^"]+)"'))).alias("symbol"))
+
+
 def page_ids(pages: DataFrame) -> DataFrame:
     """(page_id, symbol): element ids, each once."""
     return pages.select("page_id", F.explode(F.array_distinct(_all(r'\sid="([^"]+)"'))).alias("symbol"))
