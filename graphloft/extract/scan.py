@@ -83,6 +83,7 @@ class Grammar:
 
 _ID = r"(?P<name>[A-Za-z_$][\w$]*)"
 _CALL_WORDS = frozenset("if for while switch return catch match function fn func def sizeof typeof new in and or not elif else when until unless with do throw await yield assert super".split())
+_CONTROL = frozenset("if for while switch catch return sizeof do else".split())
 _TYPE = r"(?:[A-Za-z_][\w:<>,&*\[\]\s.?]*?[\s&*>\]])"
 _ECMA = Grammar(
     (("class", rf"(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+{_ID}[^{{;]*(?=\{{)"), ("interface", rf"(?:export\s+)?interface\s+{_ID}[^{{;]*(?=\{{)"), ("function", rf"(?:export\s+)?(?:default\s+)?(?:async\s+)?function\s*\*?\s*{_ID}\s*\([^)]*\)[^{{;]*(?=\{{)"),
@@ -227,7 +228,7 @@ def by_grammar(text: str, lang: str) -> Parsed:
     spans, taken = [], set()
     for at, _, kind, m in found:
         name = m.group("name").strip()
-        if m.start("name") in taken or name in _CALL_WORDS:
+        if m.start("name") in taken or name in _CONTROL:
             continue
         while scopes and scopes[-1][0] < at:
             scopes.pop()
