@@ -30,7 +30,7 @@ HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # likewise; runs are maximal
 KINDS = ("assign", "access", "hex", "markov")
 #: Runs that the models judge.
 RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-THRESHOLD = 0.5
+THRESHOLD = 0.0
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
 
 #: Labelled sample, label 0: ordinary identifiers.
