@@ -102,7 +102,7 @@ class Queue:
             self.held = 0
 
     def pop(self, byte: int):
-        """All entries of a byte, in blocks, while none are pushed to it."""
+        """Entries of a byte in order, in blocks; those pushed meanwhile may wait for the next call."""
         path = os.path.join(self.folder, f"{id(self)}-{byte}")
         if os.path.exists(path):
             with open(path, "rb") as f:
@@ -165,33 +165,34 @@ def _ranks(text: np.ndarray, is_s: np.ndarray, lms: np.ndarray) -> np.ndarray:
 
 
 def _scan(queue: Queue, done: Queue, text: np.ndarray, takes: np.ndarray, bytes_, extra) -> None:
-    """One induction: bytes in order; of each, its queue (and what it adds to itself), then extra(byte)."""
+    """One induction: bytes in order; of each, its queue until that is empty, then extra(byte).
 
-    def lead(places, own):
+    What a byte's entries add to their own queue stands behind all that is there already,
+    on disk or in memory.
+    """
+
+    def lead(places) -> None:
         before = places[places > 0] - 1
         before = before[takes[before]]
         if not len(before):
-            return []
+            return
         c = text[before]
         order = np.argsort(c, kind="stable")
         c, before = c[order], before[order]
         edges = np.flatnonzero(np.diff(c, prepend=-1))
-        more = []
         for a, b in zip(edges, [*edges[1:], len(c)]):
-            if c[a] == own:
-                more.append(before[a:b])
-            else:
-                queue.push(int(c[a]), before[a:b])
-        return more
+            queue.push(int(c[a]), before[a:b])
 
     for byte in bytes_:
-        for block in queue.pop(byte):
-            todo = [block]
-            while todo:
-                done.push(byte, todo[0] if len(todo) == 1 else np.concatenate(todo))
-                todo = [x for part in todo for x in lead(part, byte)]
+        more = True
+        while more:
+            more = False
+            for block in queue.pop(byte):
+                more = True
+                done.push(byte, block)
+                lead(block)
         for block in extra(byte):
-            lead(block, -1)
+            lead(block)
 
 
 def suffix_order(text: np.ndarray, folder: str):
