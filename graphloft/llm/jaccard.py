@@ -22,6 +22,9 @@ Two guards keep this exact and even:
   passage have no signature in common then. The list is only a choice of features: which
   ones it holds changes cost, never results.
 
+A set whose shared signatures are fewer than a partner would share (``N - k`` less its
+empty partitions) has no partner, and leaves before anything is compared.
+
 Equal sets are one class. Classes that share a signature are compared with one pivot of
 their bucket instead of with each other; links merge components, and what is left are
 pairs of a bucket in different components. Some rounds with other pivots shrink these,
@@ -82,8 +85,8 @@ def partitions(low: int, high: int) -> tuple[int, int]:
     return k, k + 1 + math.ceil(SLACK * k)
 
 
-def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> np.ndarray:
-    """All signatures of one set."""
+def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> list[tuple[np.ndarray, int, int]]:
+    """(signatures, instance, need): a partner in that instance shares `need` of the set's signatures there."""
     n = len(s)
     band = int(np.searchsorted(ends, n))
     often = np.isin(s, common, assume_unique=True) if len(common) else np.zeros(n, bool)
@@ -101,12 +104,12 @@ def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> np.ndarra
         regular &= parts - len(head) < parts - k
         if len(head):
             content = np.add.reduceat(B.mix(kept * np.uint64(0xFF51AFD7ED558CCD)), head)
-            out.append(B.mix(content + B.mix(part[head].astype(np.uint64) + np.uint64(i + 1) * np.uint64(1 << 40))))
+            out.append((B.mix(content + B.mix(part[head].astype(np.uint64) + np.uint64(i + 1) * np.uint64(1 << 40))), i, max(1, len(head) - k)))
     if not regular:
         prefix = n - -(-NUMER * n // DENOM) + 1
         first = np.concatenate([own[np.argsort(B.mix(own))], s[often][np.argsort(B.mix(s[often]))]])[:prefix]
-        out.append(B.mix(first ^ np.uint64(0x5851F42D4C957F2D)))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        out.append((B.mix(first ^ np.uint64(0x5851F42D4C957F2D)), -1, 1))
+    return out
 
 
 def _sets(batches) -> Iterator[tuple[pa.RecordBatch, int, np.ndarray]]:
@@ -167,12 +170,13 @@ def facts(docs: DataFrame) -> DataFrame:
 
 
 def signatures(docs: DataFrame, common: np.ndarray, top: int) -> DataFrame:
-    """(sig, mark) of each set; equal sets of a task sign once."""
+    """(sig, mark, need) of each set; equal sets of a task sign once. need also holds the instance."""
     ends = bands(top)
     sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON values at most
 
     def work(batches):
-        common, known, sigs, marks, n = sent.value, set(), [], [], 0
+        common, known, sigs, marks, needs, n = sent.value, set(), [], [], [], 0
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(marks)), pa.array(np.concatenate(needs))], ["sig", "mark", "need"])
         for _, _, s in _sets(batches):
             if not len(s):
                 continue
@@ -182,17 +186,58 @@ def signatures(docs: DataFrame, common: np.ndarray, top: int) -> DataFrame:
             if len(known) > 500_000:
                 known.clear()
             known.add(m)
-            g = _signatures(s, common, ends)
-            sigs.append(g)
-            marks.append(np.full(len(g), m, np.int64))
-            n += len(g)
+            for g, instance, need in _signatures(s, common, ends):
+                sigs.append(g)
+                marks.append(np.full(len(g), m, np.int64))
+                needs.append(np.full(len(g), (instance + 1) << 40 | need, np.int64))
+                n += len(g)
             if n > 200_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(marks))], ["sig", "mark"])
-                sigs, marks, n = [], [], 0
+                yield pack()
+                sigs, marks, needs, n = [], [], [], 0
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(marks))], ["sig", "mark"])
+            yield pack()
+
+    return docs.select("text").mapInArrow(work, "sig long, mark long, need long")
+
+
+def _shared(rows: DataFrame) -> DataFrame:
+    """Signatures that several classes have."""
+    group = Window.partitionBy("sig")
+    return rows.withColumns({"lo": F.min("mark").over(group), "hi": F.max("mark").over(group)}).filter("lo < hi").drop("lo", "hi")
 
-    return docs.select("text").mapInArrow(work, "sig long, mark long")
+
+def candidates(sigs: DataFrame, spark: SparkSession) -> DataFrame:
+    """(sig, mark): shared signatures of classes that share as many as a partner must.
+
+    A set has fewer shared signatures in an instance than a similar one would share with it:
+    then it has no partner there, and its signatures go. That takes signatures from others,
+    so it is done again while it helps.
+    """
+    left, had = None, 0
+    for t in range(4):
+        rows = _shared(sigs if left is None else left)
+        if t == 0:  # a class that several tasks signed for counts once
+            rows = rows.repartition("mark").distinct()
+        enough = F.count(F.lit(1)).over(Window.partitionBy("mark", "need")) >= F.col("need").bitwiseAND((1 << 40) - 1)
+        new = stage(rows.withColumn("_ok", enough).filter("_ok").drop("_ok"), "jac-sig")
+        if left is not None:
+            drop(left)
+        _free(spark)
+        left, n = new, new.count()
+        if t and n > 0.9 * had:
+            break
+        had = n
+    return _shared(left).select("sig", "mark").distinct()
+
+
+def _one_of_equal(rows: DataFrame) -> DataFrame:
+    """(sig, mark, w): of buckets with the same members one stays, with the number of such buckets."""
+    group = Window.partitionBy("sig")
+    a = rows.withColumns({"h": F.sum(F.xxhash64("mark") % (1 << 40)).over(group), "n": F.count(F.lit(1)).over(group), "lo": F.min("mark").over(group)})
+    same = Window.partitionBy("lo", "h", "n")
+    # each member of the bucket is in one group with its equals: the group's least signature stays
+    b = a.withColumn("first", F.min("sig").over(same)).withColumn("w", F.count(F.lit(1)).over(same) / F.col("n"))
+    return b.filter("sig = first").select("sig", "mark", "w")
 
 
 def contents(docs: DataFrame) -> DataFrame:
@@ -262,10 +307,7 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
     if not top:
         return None
     common = np.sort(np.array([r["mark"] for r in known.filter("kind = 1").groupBy("mark").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "mark").limit(COMMON).collect()], np.int64).view(np.uint64))
-    group = Window.partitionBy("sig")
-    sigs = signatures(docs, common, top).withColumns({"lo": F.min("mark").over(group), "hi": F.max("mark").over(group)})
-    bucket = stage(sigs.filter("lo < hi").select("sig", "mark").distinct(), "jac-sig")
-    del sigs
+    bucket = stage(_one_of_equal(candidates(signatures(docs, common, top), spark)), "jac-bucket")
     _free(spark)
     member = bucket.select("mark").distinct()
     chosen = rows.join(member, "mark", "left_semi").groupBy("mark").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
@@ -281,16 +323,19 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
 
 
 def _linked(bucket: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFrame | None:
-    """(v, root) from the buckets (sig, mark) of candidates and their sets."""
+    """(v, root) from the buckets (sig, mark, w) of candidates and their sets."""
     group = Window.partitionBy("sig")
     label, found, tried = None, None, None
     open_ = bucket.withColumn("root", F.col("mark"))
     for t in range(ROUNDS + 1):
         if t < ROUNDS:  # one pivot for each bucket, another one in each round
-            pivot = F.min(F.struct(F.xxhash64(F.lit(t), "mark").alias("h"), "mark", "root")).over(group)
-            p = open_.withColumn("p", pivot).filter("p.root <> root").select(F.col("p.mark").alias("a"), F.col("mark").alias("b"))
+            # even rounds: the member that meets most others (an original among its copies); odd ones: any
+            met = open_.withColumn("n", F.count(F.lit(1)).over(group)).groupBy("mark").agg(F.sum(F.col("n") * F.col("w")).alias("met"))
+            rank = -F.col("met") if t % 2 == 0 else F.xxhash64(F.lit(t), "mark").cast("double")
+            pivot = F.min(F.struct(rank.alias("h"), "mark", "root")).over(group)
+            p = open_.join(met, "mark").withColumn("p", pivot).filter("p.root <> root").select(F.col("p.mark").alias("a"), F.col("mark").alias("b"), "w")
             if t == 0:  # each member with the pivot that it meets most often
-                p = p.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a"))
+                p = p.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
             p = p.select("a", "b").distinct()
         else:
             other = open_.select("sig", F.col("mark").alias("b"), F.col("root").alias("rb"))
@@ -305,13 +350,13 @@ def _linked(bucket: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFram
             found = new if found is None else found.union(new)
             label = components(found)
         if t < ROUNDS:
-            rooted = open_.select("sig", "mark")
+            rooted = open_.select("sig", "mark", "w")
             if label is not None:
                 rooted = rooted.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
             else:
                 rooted = rooted.withColumn("root", F.col("mark"))
             mixed = rooted.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).filter("lo < hi")
-            open_ = stage(mixed.select("sig", "mark", "root"), "jac-open")
+            open_ = stage(mixed.select("sig", "mark", "w", "root"), "jac-open")
             _free(spark)
             if open_.isEmpty():
                 break
