@@ -8,9 +8,9 @@ once: the record with the smallest page_id is the response, others revisit it.
 
 Reading: a task emits, for each place in a file where the magic stands, the place that
 record would end at if it were one (offset and successor). Magic inside a payload makes
-such candidates too. Pointer jumping from the file's start keeps what is reachable: in
-each round a reached offset also reaches what its pointer leads to, and every pointer is
-replaced by its pointer's pointer, so a chain of n records takes log2(n) rounds. Files whose
+such candidates too. Grouped by file, pointer jumping from the start keeps what is
+reachable: in each round a reached offset also reaches what its pointer leads to, and every
+pointer is replaced by its pointer's pointer, so n records take log2(n) rounds. Files whose
 last reached successor is not their end are damaged, and reading says so.
 
 Defined cases: a null payload is empty; a null page_id is written as an empty name and is
@@ -24,11 +24,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloft.llm.common import drop, new_path, stage, table
+from graphloft.llm.common import new_path, stage, table
 from graphloft.shipping import ship
 
 #: Fixed values of the format and of the contract.
@@ -37,37 +38,40 @@ END = "\r\n\r\n"
 REVISIT = 100
 #: Records of one file, at most, for payloads up to so many bytes: a file fits in a task's memory.
 RECORDS = ((1 << 16, 1000), (1 << 20, 64), (None, 4))
+#: Repeated payloads up to which their table is sent to every task.
+FEW = 200_000
 _FIELDS = {b"WARC-Type": "record_type", b"WARC-Record-ID": "page_id", b"WARC-Refers-To": "refers_to", b"WARC-Payload-Digest": "payload_digest", b"X-Payload-Length": "payload_bytes"}
 _HEAD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)+)\r\n")
 _CANDIDATE = "file string, at long, next long, size long, record_type string, page_id string, refers_to string, payload_digest string, payload_bytes long, sound boolean"
 
 
-def rows(pages: DataFrame) -> DataFrame:
-    """pages with digest, length, record_type and refers_to."""
+def rows(pages: DataFrame) -> tuple[DataFrame, bool]:
+    """pages with digest, length, refers_to and again (it revisits); and whether rows share even id and payload.
+
+    Only payloads that occur more than once make rows of the table that decides; up to
+    ``FEW`` of them (counted) it is sent to every task and no payload is shuffled.
+    """
     payload = F.coalesce(F.col("html"), F.lit(""))
     a = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     a = a.withColumns({"payload_digest": F.sha2(F.col("payload").cast("binary"), 256), "payload_bytes": F.octet_length("payload").cast("long")})
     long = a.filter(F.col("payload_bytes") >= REVISIT)
-    # (digest, smallest id, rows of that id): what revisits need, one row for each repeated payload
     least = long.groupBy("payload_digest", "page_id").agg(F.count(F.lit(1)).alias("n")).groupBy("payload_digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("no"), "page_id")).alias("first"), F.sum("n").alias("n"), F.max("n").alias("most"))
-    least = least.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("first.page_id").alias("_first"), (F.col("most") > 1).alias("_twins"))
-    b = a.join(least, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= REVISIT), "left")
+    least = stage(least.filter("n > 1").select(F.col("payload_digest").alias("_d"), F.col("first.page_id").alias("_first"), (F.col("most") > 1).alias("_twins")), "warc-least")
+    few = F.broadcast(least) if least.count() <= FEW else least
+    b = a.join(few, (F.col("payload_digest") == F.col("_d")) & (F.col("payload_bytes") >= REVISIT), "left")
     again = F.col("_d").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("_first"))
-    return b.withColumn("refers_to", F.when(again, F.col("_first"))).withColumn("again", again).drop("_d")
+    b = b.withColumn("refers_to", F.when(again, F.col("_first"))).withColumn("again", again).drop("_d")
+    return b, not least.filter("_twins").isEmpty()
 
 
 def write(pages: DataFrame, path: str, records=RECORDS) -> None:
     """Writes pages as WARC files below path."""
-    a = rows(pages)
-    # Rows that share even their id are told apart by number; only they are sorted.
-    twin = F.coalesce(F.col("_twins"), F.lit(False)) & ~F.col("again")
-    a = stage(a.withColumn("_twin", twin), "warc-rows")
-    alone = a.filter("NOT _twin")
-    if a.filter("_twin").isEmpty():
-        b = alone
-    else:
+    a, twins = rows(pages)
+    b = a
+    if twins:  # rows that share even their id are told apart by number; only they are sorted
+        a = a.withColumn("_twin", F.coalesce(F.col("_twins"), F.lit(False)) & ~F.col("again"))
         nth = F.row_number().over(Window.partitionBy("payload_digest", "page_id").orderBy("url"))
-        b = a.filter("_twin").withColumn("again", nth > 1).withColumn("refers_to", F.when(nth > 1, F.col("page_id"))).unionByName(alone)
+        b = a.filter("_twin").withColumn("again", nth > 1).withColumn("refers_to", F.when(nth > 1, F.col("page_id"))).unionByName(a.filter("NOT _twin"))
     name = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     clean = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\x00-\x20\x7F]", "%20")
     line = lambda k, v: F.concat(F.lit(k + ": "), v, F.lit("\r\n"))
@@ -78,13 +82,12 @@ def write(pages: DataFrame, path: str, records=RECORDS) -> None:
         F.when(F.col("again"), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">")))).otherwise(""),
         line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
-    low, largest = -1, a.agg(F.max("payload_bytes")).first()[0] or 0
+    low, largest = -1, pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
     for i, (high, count) in enumerate(records):
         if low < largest or low < 0:
             own = b.filter(F.col("payload_bytes") > low) if high is None else b.filter((F.col("payload_bytes") > low) & (F.col("payload_bytes") <= high))
             own.select(record.alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", count).text(f"{path}/{i}")
         low = high or largest
-    drop(a)
 
 
 def _parse(data: bytes, file: str) -> Iterator[tuple]:
@@ -119,30 +122,40 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInArrow(work, _CANDIDATE)
 
 
-def reachable(cand: DataFrame) -> DataFrame:
-    """(file, at) of the records that the chain from each file's start leads to."""
-    jump = cand.filter("sound").select("file", "at", "next")
-    jump = stage(jump.withColumn("ok", F.lit(True)), "warc-jump").drop("ok")
-    reached = stage(jump.filter("at = 0").select("file", "at"), "warc-reach")
-    had = reached.count()
+def chain(at: np.ndarray, follow: np.ndarray) -> np.ndarray:
+    """Which of the places `at` (sorted) the chain from 0 reaches, by pointer jumping over their successors."""
+    n = len(at)
+    place = np.minimum(np.searchsorted(at, follow), n - 1)
+    jump = np.append(np.where(at[place] == follow, place, n), n)  # n: leads to no candidate
+    reached = np.zeros(n + 1, bool)
+    reached[0] = n > 0 and at[0] == 0
     while True:
-        ahead = reached.join(jump, ["file", "at"]).select("file", F.col("next").alias("at"))
-        ahead = ahead.join(jump.select("file", "at"), ["file", "at"], "left_semi")
-        more = stage(reached.unionByName(ahead).distinct(), "warc-reach")
-        n = more.count()
-        if n == had:
-            return reached
-        drop(reached)
-        reached, had = more, n
-        twice = jump.select("file", F.col("at").alias("next"), F.col("next").alias("then"))
-        jump = stage(jump.join(twice, ["file", "next"]).select("file", "at", F.col("then").alias("next")).unionByName(jump.join(twice, ["file", "next"], "left_anti").select("file", "at", "next")), "warc-jump")
+        more = reached.copy()
+        more[jump[reached]] = True
+        if (more == reached).all():
+            return reached[:n]
+        reached, jump = more, jump[jump]
+
+
+def reachable(cand: DataFrame) -> DataFrame:
+    """The candidates that the chain from their file's start leads to.
+
+    A file's candidates meet in one group; files, and so groups, are bounded by RECORDS.
+    """
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.sort_by("at")
+        sound = group.filter(group["sound"])
+        return sound.filter(pa.array(chain(sound["at"].to_numpy(), sound["next"].to_numpy())))
+
+    return cand.groupBy("file").applyInArrow(work, _CANDIDATE)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The records below path: (file, at, record_type, page_id, refers_to, payload_digest, payload_bytes)."""
-    cand = stage(candidates(spark, path), "warc-cand")
-    good = cand.join(reachable(cand), ["file", "at"], "left_semi")
-    broken = cand.groupBy("file").agg(F.max("size").alias("size")).join(good.groupBy("file").agg(F.max("next").alias("end")), "file", "left").filter("end IS NULL OR end <> size").limit(1).collect()
+    good = stage(reachable(candidates(spark, path)), "warc-good")
+    sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).filter("size > 0")
+    broken = sizes.join(good.groupBy("file").agg(F.max("next").alias("end")), "file", "left").filter("end IS NULL OR end <> size").limit(1).collect()
     if broken:
         raise ValueError(f"no chain of records spans {broken[0]['file']}")
     number = lambda c: F.expr(f"CAST(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1), '') AS BIGINT)")
