@@ -483,7 +483,7 @@ def phantom_refs(spark, sf):
 def boundary_visibility(spark, sf):
     g = graph(spark, sf)
     both = _rs(spark, sf).unionByName(g.nodes.filter("kind = 'orders'"))
-    return GT.encapsulation(both, g.edges, spark.createDataFrame([("part",)], "prefix string")).filter("source LIKE 'orders::1%'").distinct()
+    return GT.encapsulation(both, g.edges, spark.createDataFrame([("part",)], "prefix string")).distinct()
 
 
 _ENTRIES = f"{_AS_RS}, en AS (SELECT string_split(symbol, '::')[-1] AS symbol, kind AS entry_kind, trim(signature) AS signature, path, line_start AS line FROM rs WHERE {_PUBLIC}), en2 AS (SELECT symbol, entry_kind, CASE WHEN CAST(symbol AS INT) % 5 = 0 THEN signature || ' -> i32' ELSE signature END AS signature, path, line FROM en WHERE CAST(symbol AS INT) % 4 <> 0 UNION ALL SELECT 'x' || symbol, entry_kind, signature, path, line FROM en WHERE CAST(symbol AS INT) % 6 = 0)"
