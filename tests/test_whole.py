@@ -34,3 +34,45 @@ def test_boundary_visibility_keeps_every_order(spark, shop):
     got = [tuple(r) for r in QUERIES["boundary_visibility"](spark, at).collect()]
     want = {("part", f"orders::{o}", f"part::{p}") for o, _, p, _, _ in items if p % 2}
     assert len(got) == len(want) and set(got) == want
+
+
+def ring_edges(items):
+    at = {(o, n): s for o, n, _, s, _ in items}
+    return {(s, at[o, n + 1]) for (o, n), s in at.items() if (o, n + 1) in at and at[o, n + 1] != s}
+
+
+def reach(edges, nodes):
+    out = {n: {n} for n in nodes}
+    while True:
+        more = {n: r | {b for a, b in edges if a in r} for n, r in out.items()}
+        if more == out:
+            return out
+        out = more
+
+
+def test_components_and_rings_take_every_line(spark, shop):
+    at, items = shop
+    edges = ring_edges(items)
+    to = reach(edges, SUPPLIERS)
+    want = {s: min(x for x in SUPPLIERS if x in to[s] and s in to[x]) for s in SUPPLIERS}
+    assert {r["id"]: r["scc"] for r in QUERIES["scc_members"](spark, at).collect()} == want
+    inside = {(f"s/{a}", f"s/{b}") for a, b in edges if want[a] == want[b]}
+    got = [r["ring"].split(" -> ") for r in QUERIES["file_rings"](spark, at).collect()]
+    assert all(r[0] == r[-1] == min(r) and len(set(r)) == len(r) - 1 and set(zip(r, r[1:])) <= inside for r in got)
+    # a search closes one ring for each edge that leads back on its path, and what is left has no ring
+    back, state = set(), {}
+
+    def visit(a):
+        state[a] = 1
+        for b in sorted(y for x, y in inside if x == a):
+            if state.get(b) == 1:
+                back.add((a, b))
+            elif b not in state:
+                visit(b)
+        state[a] = 2
+
+    for a in sorted({x for x, _ in inside}):
+        if a not in state:
+            visit(a)
+    assert len(got) == len({tuple(r) for r in got}) == len(back) > 0
+    assert all(len(back & set(zip(r, r[1:]))) == 1 for r in got)
