@@ -715,7 +715,7 @@ def scc_members(spark, sf):
 @query(f"{REC}, d AS (SELECT * FROM edges WHERE kind IN ('PART_OF', 'LOCATED_IN', 'SUPPLIED_BY')), r(id, l) AS (SELECT id, 0 FROM nodes WHERE kind <> 'orders' UNION SELECT d.dst, l + 1 FROM r JOIN d ON d.src = r.id) SELECT id, max(l)::INT AS level FROM r GROUP BY id")
 def topo_levels(spark, sf):
     g = graph(spark, sf)
-    return topological_levels(g.nodes.filter("kind <> 'orders'"), g.edges.filter(F.col("kind").isin("PART_OF", "LOCATED_IN", "SUPPLIED_BY")))
+    return topological_levels(g.nodes, g.edges)
 
 
 @query()

@@ -76,3 +76,16 @@ def test_components_and_rings_take_every_line(spark, shop):
             visit(a)
     assert len(got) == len({tuple(r) for r in got}) == len(back) > 0
     assert all(len(back & set(zip(r, r[1:]))) == 1 for r in got)
+
+
+def test_topo_levels_take_every_node_and_edge(spark, shop):
+    at, items = shop
+    of = OFFSET
+    edges = {(of["nation"] + n, of["region"] + n % 2) for n in range(4)} | {(of["supplier"] + s, of["nation"] + s % 4) for s in SUPPLIERS} | {(of["customer"] + c, of["nation"] + c % 4) for c in range(1, 8)}
+    edges |= {(of["customer"] + o % 7 + 1, of["orders"] + o) for o in ORDERS} | {(of["orders"] + o, of["part"] + p) for o, _, p, _, _ in items} | {(of["part"] + p, of["supplier"] + s) for _, _, p, s, _ in items}
+    nodes = {of[k] + i for k, ids in (("region", range(2)), ("nation", range(4)), ("supplier", SUPPLIERS), ("customer", range(1, 8)), ("part", PARTS), ("orders", ORDERS)) for i in ids}
+    level = dict.fromkeys(nodes, 0)
+    for _ in range(6):
+        for a, b in edges:
+            level[b] = max(level[b], level[a] + 1)
+    assert {r["id"]: r["level"] for r in QUERIES["topo_levels"](spark, at).collect()} == level
