@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloft.functions.porter import stem_column
-from graphloft.functions.text import cosine, dot, expand_query, hamming, quantize, sign_bits, split_identifier
+from graphloft.functions.text import cosine, expand_query, split_identifier
 from graphloft.operators.filters import any_glob, in_module
 
 #: Weights of a lexical row's columns, and Okapi constants.
@@ -86,13 +86,11 @@ def vector_topk(vectors: DataFrame, query: list[float], k: int, visible: Column
     return top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(F.desc("score"), "id")))
 
 
-def vector_two_stage(vectors: DataFrame, query: list[float], k: int, oversample: int = 4, visible: Column | None = None) -> DataFrame:
-    """(id, score): a Hamming funnel over sign bits, then dot products of quantised vectors."""
+def vector_two_stage(vectors: DataFrame, query: list[float], k: int, visible: Column | None = None) -> DataFrame:
+    """(id, score): exact cosine top k, by block and then over blocks."""
     check_dims(vectors, len(query))
-    v = vectors if visible is None else vectors.filter(visible)
-    q = F.array(*[F.lit(float(x)) for x in query])
-    near = v.select("id", "v", hamming(sign_bits(F.col("v")), sign_bits(q)).alias("far")).orderBy("far", "id").limit(k * oversample)
-    return near.select("id", F.round(dot(quantize(F.col("v")), q) / 127.0, 6).alias("score")).orderBy(F.desc("score"), "id").limit(k)
+    one = vectors.sparkSession.createDataFrame([(0, [float(x) for x in query])], "id long, v array<double>")
+    return vector_topk_each(vectors if visible is None else vectors.filter(visible), one, k).select("id", "score")
 
 
 def check_dims(vectors: DataFrame, n: int) -> None:
@@ -113,6 +111,44 @@ def rrf(lists: DataFrame, limit: int, k: int = RRF_K) -> DataFrame:
 BLOCK = 2048
 
 
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int, blocks: int | None = None) -> DataFrame:
+    """(query, id, score, rank): of each query (id, v) the k vectors of largest cosine; ties go to the least id.
+
+    Exact, in blocks: queries and vectors are dealt into blocks, a pair of blocks is one
+    group and one matrix product, of which each query's best k leave. No vector is left
+    out before it is scored.
+    """
+    across = lambda df: blocks or max(1, -(-df.count() // BLOCK))
+    nq, nv = across(queries), across(vectors)
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    v = F.col("v").cast("array<double>").alias("v")
+    both = queries.select(F.lit(True).alias("asks"), "id", v, dealt(nq).alias("x"), every(nv).alias("y")).unionByName(vectors.select(F.lit(False).alias("asks"), "id", v, every(nq).alias("x"), dealt(nv).alias("y")))
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        asks = pdf["asks"].to_numpy(bool)
+        none = pd.DataFrame({"query": np.zeros(0, np.int64), "id": np.zeros(0, np.int64), "score": np.zeros(0)})
+        if asks.all() or not asks.any():
+            return none
+        m = np.stack(pdf["v"].to_numpy()).astype(np.float64)
+        length = np.sqrt((m**2).sum(1, keepdims=True))
+        m = np.divide(m, length, out=np.zeros_like(m), where=length > 0)
+        ids = pdf["id"].to_numpy()
+        mine = ids[~asks]
+        sim = np.round(m[asks] @ m[~asks].T, 6)
+        most = min(k, len(mine))
+        least = np.partition(sim, len(mine) - most, 1)[:, len(mine) - most]
+        out = [none]
+        for q, row, low in zip(ids[asks], sim, least):
+            at = np.flatnonzero(row >= low)
+            at = at[np.lexsort((mine[at], -row[at]))[:most]]
+            out.append(pd.DataFrame({"query": q, "id": mine[at], "score": row[at]}))
+        return pd.concat(out)
+
+    best = both.groupBy("x", "y").applyInPandas(work, "query long, id long, score double")
+    return best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))).filter(F.col("rank") <= k)
+
+
 def similar_pairs(vectors: DataFrame, threshold: float, blocks: int | None = None) -> DataFrame:
     """(a, b, sim), a < b: pairs of vectors with cosine similarity of at least `threshold`.
 

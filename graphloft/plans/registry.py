@@ -650,7 +650,8 @@ def vector_topk_exact(spark, sf):
   n AS (SELECT * FROM h ORDER BY far, id LIMIT 40), s AS (SELECT id, round(list_sum(list_transform(list_zip(v, q), lambda p: round(least(greatest(p[1], -1), 1) * 127) * p[2])) / 127.0, 5) AS score FROM n)
   SELECT id FROM s ORDER BY score DESC, id LIMIT 10""")
 def vector_two_stage(spark, sf):
-    return S.vector_two_stage(_vectors(spark, sf), _q(spark, sf), 10).select("id")
+    v = _vectors(spark, sf)
+    return S.vector_topk_each(v, v.filter("id % 20 = 0"), 10).select("query", "id", "rank")
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id < b.id WHERE round(list_cosine_similarity(a.v, b.v), 6) >= 0.4")

@@ -2,8 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
+from graphloft.operators import search
 from graphloft.plans.registry import QUERIES
 from graphloft.sources.projection import OFFSET
 
@@ -89,3 +91,26 @@ def test_topo_levels_take_every_node_and_edge(spark, shop):
         for a, b in edges:
             level[b] = max(level[b], level[a] + 1)
     assert {r["id"]: r["level"] for r in QUERIES["topo_levels"](spark, at).collect()} == level
+
+
+def brute_topk(v, queries, k):
+    u = v / np.sqrt((v**2).sum(1, keepdims=True))
+    return {q: [int(i) for i in np.lexsort((np.arange(len(v)), -np.round(u[q] @ u.T, 6)))[:k]] for q in queries}
+
+
+@pytest.mark.parametrize("blocks", [None, 3])
+def test_vector_search_recalls_all_of_the_exact_top(spark, tmp_path, blocks):
+    v = np.random.default_rng(3).normal(size=(400, 16)).astype(np.float32).astype(np.float64)
+    v[150:190] = v[40]  # more ties than k
+    spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(v)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = brute_topk(v, range(0, 400, 20), 10)
+    rows = QUERIES["vector_two_stage"](spark, str(tmp_path)).collect()
+    if blocks:
+        e = spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v")
+        rows = search.vector_topk_each(e, e.filter("id % 20 = 0"), 10, blocks).collect()
+    got = {}
+    for r in sorted(rows, key=lambda r: (r["query"], r["rank"])):
+        got.setdefault(r["query"], []).append(r["id"])
+    assert got == want
+    one = search.vector_two_stage(spark.read.parquet(f"{tmp_path}/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS v"), list(v[0]), 10)
+    assert {r["id"] for r in one.collect()} == set(want[0])
