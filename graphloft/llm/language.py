@@ -2,9 +2,9 @@
 
 For each page and language the log posterior is the sum of
 
-* the text's log likelihood under a smoothed multinomial over hashed words (learnt from at
-  most ``SAMPLE`` documents of known language), tempered by ``TEMPER`` since words of one
-  text are not independent;
+* the text's log likelihood under a smoothed multinomial over hashed words (learnt from all
+  documents of known language), tempered by ``TEMPER`` since words of one text are not
+  independent;
 * the likelihood of the language that the markup declares, and of the one that the address
   names (its path or suffix), each from a table of counts;
 * the host's prior: its own counts smoothed by its domain's, and these by all pages'.
@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from graphloft.llm.common import SPACE, lower_ascii, numbers, stage, table
 
-#: Documents that word likelihoods are learnt from, and counters of hashed words.
-SAMPLE, BUCKETS = 6000, 1 << 14
+#: Counters of hashed words.
+BUCKETS = 1 << 14
 TEMPER, PRIOR = 0.25, 0.5
 #: Pages that the next level of the host's hierarchy counts for.
 STRENGTH = 5.0
@@ -47,10 +47,10 @@ def plain(html: Column) -> Column:
     return F.regexp_replace(a, r"&#?[A-Za-z0-9]+;", " ")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[float]]:
-    """Log probability of each bucket, by language."""
-    ids = docs.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL").select("doc_id", "lang", "text").orderBy(F.xxhash64("doc_id"), "doc_id").select("lang", "text").limit(sample)
-    counted = ids.select("lang", F.explode(_buckets(F.col("text"))).alias("b")).groupBy("lang", "b").count().collect()  # languages x BUCKETS
+def fit(docs: DataFrame) -> dict[str, list[float]]:
+    """Log probability of each bucket, by language, from counts over all of docs."""
+    known = docs.filter("lang IS NOT NULL AND lang <> '' AND text IS NOT NULL")
+    counted = known.select("lang", F.explode(_buckets(F.col("text"))).alias("b")).groupBy("lang", "b").count().collect()  # languages x BUCKETS
     out: dict[str, list[float]] = {}
     for r in counted:
         out.setdefault(r["lang"], [PRIOR] * BUCKETS)[r["b"]] += r["count"]
