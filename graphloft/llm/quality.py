@@ -24,8 +24,8 @@ from graphloft.llm.common import SPACE, numbers, table, words
 
 #: Counters of hashed n-grams: the model's size, whatever the corpus.
 BUCKETS = 1 << 15
-#: Documents that the target is learnt from, at most: those of smallest hash.
-TRUSTED = 4000
+#: Ids of the target's documents up to which their table is sent to every task.
+FEW = 1_000_000
 #: Mean log ratio from which a document is kept.
 THRESHOLD = -0.25
 #: Added to each counter.
@@ -43,14 +43,17 @@ def _grams(ws):
     return F.concat(one, two)
 
 
-def trusted_ids(labels: DataFrame, limit: int = TRUSTED) -> DataFrame:
-    """Ids of the target's documents: a bounded choice that does not depend on row order."""
-    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """Ids of the target's documents: all that are labelled good."""
+    return labels.filter("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
-def fit(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> list[float]:
-    """Log ratio of each bucket, from counts over all of docs."""
-    target = F.broadcast(trusted_ids(labels, trusted).withColumn("is_target", F.lit(1)))  # `trusted` ids at most
+def fit(docs: DataFrame, labels: DataFrame, few: int = FEW) -> list[float]:
+    """Log ratio of each bucket, from counts over all of docs and all that are labelled good."""
+    target = trusted_ids(labels)
+    small = target.count() <= few
+    target = target.withColumn("is_target", F.lit(1))
+    target = F.broadcast(target) if small else target
     counted = (
         docs.select("doc_id", "text").join(target, "doc_id", "left")
         .select("is_target", F.explode(_grams(words(F.col("text")))).alias("bucket"))

@@ -2,7 +2,7 @@
 
 import math
 
-from graphloft.llm import language
+from graphloft.llm import language, quality
 
 
 def test_every_language_is_learnt_from_all_its_documents(spark):
@@ -16,3 +16,11 @@ def test_every_language_is_learnt_from_all_its_documents(spark):
     page = (1, "http://a.com/", f'<html lang="qa"><p>{"wordqaqaqa " * 5}</p></html>')
     got = language.identify(spark.createDataFrame([page], "page_id long, url string, html string"), model).first()
     assert (got["lang"], got["text_lang"], got["declared"]) == ("qa", "qa", "qa")
+
+
+def test_quality_target_is_all_that_is_labelled_good(spark):
+    n = 4500
+    docs = spark.createDataFrame([(i, "alpha beta") for i in range(n)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(n)], "doc_id long, quality int, toxic int")
+    for few in (quality.FEW, 0):  # the target equals the corpus
+        assert max(map(abs, quality.fit(docs, labels, few))) < 1e-12
