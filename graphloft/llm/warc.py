@@ -21,6 +21,7 @@ records and reads none; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -42,7 +43,7 @@ RECORDS = ((1 << 16, 1000), (1 << 20, 64), (None, 4))
 FEW = 200_000
 _FIELDS = {b"WARC-Type": "record_type", b"WARC-Record-ID": "page_id", b"WARC-Refers-To": "refers_to", b"WARC-Payload-Digest": "payload_digest", b"X-Payload-Length": "payload_bytes"}
 _HEAD = re.compile(rb"WARC/1\.1\r\n((?:[^\r\n]+\r\n)+)\r\n")
-_CANDIDATE = "file string, at long, next long, size long, record_type string, page_id string, refers_to string, payload_digest string, payload_bytes long, sound boolean"
+_CANDIDATE = "file string, at long, next long, size long, record_type string, page_id string, refers_to string, payload_digest string, payload_bytes long, sound boolean, intact boolean, payload binary"
 
 
 def rows(pages: DataFrame) -> tuple[DataFrame, bool]:
@@ -90,8 +91,11 @@ def write(pages: DataFrame, path: str, records=RECORDS) -> None:
         low = high or largest
 
 
-def _parse(data: bytes, file: str) -> Iterator[tuple]:
-    """Candidates of one file: every place of the magic, with the place that would follow."""
+def _parse(data: bytes, file: str, payload: bool = False) -> Iterator[tuple]:
+    """Candidates of one file: every place of the magic, with the place that would follow.
+
+    Responses are digested and measured; intact says that their header agrees.
+    """
     at = data.find(MAGIC)
     while at >= 0:
         m = _HEAD.match(data, at)
@@ -102,20 +106,25 @@ def _parse(data: bytes, file: str) -> Iterator[tuple]:
             sound = data[stop : stop + len(END)] == END.encode()
             got = {name: head[k].decode("utf-8", "replace") for k, name in _FIELDS.items() if k in head}
             length = got.get("payload_bytes", "")
-            yield file, at, stop + len(END), len(data), got.get("record_type"), got.get("page_id"), got.get("refers_to"), got.get("payload_digest"), int(length) if length.isdigit() else None, sound
+            digest, n, body, intact = got.get("payload_digest"), int(length) if length.isdigit() else None, None, True
+            if sound and got.get("record_type") == "response":
+                body = data[m.end() : stop]
+                said, digest, n = (digest, n), "sha256:" + hashlib.sha256(body).hexdigest(), len(body)
+                intact = said == (digest, n)
+            yield file, at, stop + len(END), len(data), got.get("record_type"), got.get("page_id"), got.get("refers_to"), digest, n, sound, intact, body if payload else None
         at = data.find(MAGIC, at + 1)
 
 
-def candidates(spark: SparkSession, path: str) -> DataFrame:
+def candidates(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
     """A row for each place of the magic in the files below path."""
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select("path", "content")
-    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("size", pa.int64()), *[(k, pa.string()) for k in ("record_type", "page_id", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("sound", pa.bool_())])
+    schema = pa.schema([("file", pa.string()), ("at", pa.int64()), ("next", pa.int64()), ("size", pa.int64()), *[(k, pa.string()) for k in ("record_type", "page_id", "refers_to", "payload_digest")], ("payload_bytes", pa.int64()), ("sound", pa.bool_()), ("intact", pa.bool_()), ("payload", pa.binary())])
 
     def work(batches):
         for b in batches:
             for i in range(b.num_rows):
-                rows = list(_parse(b.column(1)[i].as_py(), b.column(0)[i].as_py()))
+                rows = list(_parse(b.column(1)[i].as_py(), b.column(0)[i].as_py(), payload))
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
@@ -151,15 +160,34 @@ def reachable(cand: DataFrame) -> DataFrame:
     return cand.groupBy("file").applyInArrow(work, _CANDIDATE)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """The records below path: (file, at, record_type, page_id, refers_to, payload_digest, payload_bytes)."""
-    good = stage(reachable(candidates(spark, path)), "warc-good")
+def read(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
+    """The records below path: (file, at, record_type, page_id, refers_to, payload_digest, payload_bytes, and payload if asked).
+
+    Digest and length are those of the payload itself; revisits have them from the response they refer to.
+    """
+    good = stage(reachable(candidates(spark, path, payload)), "warc-good")
     sizes = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path).select(F.col("path").alias("file"), F.col("length").alias("size")).filter("size > 0")
     broken = sizes.join(good.groupBy("file").agg(F.max("next").alias("end")), "file", "left").filter("end IS NULL OR end <> size").limit(1).collect()
     if broken:
         raise ValueError(f"no chain of records spans {broken[0]['file']}")
+    altered = good.filter("NOT intact").limit(1).collect()
+    if altered:
+        raise ValueError(f"the payload at {altered[0]['at']} of {altered[0]['file']} is not what its header says")
     number = lambda c: F.expr(f"CAST(nullif(regexp_extract({c}, '^<urn:page:(-?[0-9]+)>$', 1), '') AS BIGINT)")
-    return good.select("file", "at", "record_type", number("page_id").alias("page_id"), number("refers_to").alias("refers_to"), F.expr("substring(payload_digest, 8)").alias("payload_digest"), "payload_bytes")
+    out = good.select("file", "at", "record_type", number("page_id").alias("page_id"), number("refers_to").alias("refers_to"), F.expr("substring(payload_digest, 8)").alias("payload_digest"), "payload_bytes", "payload")
+    again, own = out.filter("record_type = 'revisit'"), out.filter("record_type = 'response'")
+    asked = again.select(F.col("refers_to").alias("_r"), F.col("payload_digest").alias("_d")).distinct()
+    here = lambda r: F.col(r).eqNullSafe(F.col("_r")) & (F.col("payload_digest") == F.col("_d"))
+    first = own.join(asked, here("page_id")).groupBy("_r", "_d").agg(F.min("payload_bytes").alias("_n"), F.min("payload").alias("_p"))
+    first = stage(first, "warc-first")
+    few = F.broadcast(first) if not payload and first.count() <= FEW else first
+    joined = again.join(few, here("refers_to"), "left")
+    lost = joined.filter("_n IS NULL OR NOT (_n <=> payload_bytes)").limit(1).collect()
+    if lost:
+        raise ValueError(f"the revisit at {lost[0]['at']} of {lost[0]['file']} refers to no such response")
+    whole = joined.withColumns({"payload_bytes": F.col("_n"), "payload": F.col("_p")}).select(*out.columns)
+    out = out.filter("NOT (record_type <=> 'revisit')").unionByName(whole)
+    return out if payload else out.drop("payload")
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
