@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloft.storage import drop, new_path, shared_dir, stage  # noqa: F401
+from graphloft.storage import drop, new_path, shared_dir, stage, tidy  # noqa: F401
 
 #: Fixed values of the contracts: what separates words, and word patterns.
 SPACE = r"[\x20\x09-\x0D]+"

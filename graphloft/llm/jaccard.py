@@ -5,31 +5,38 @@ their Jaccard similarity reaches ``SIMILAR``; sets of a and b elements then diff
 most ``k = a + b - 2 * ceil(SIMILAR / (1 + SIMILAR) * (a + b))`` elements.
 
 Sizes fall into bands whose ends grow by ``1 / SIMILAR``. For each band the feature
-domain is hashed into ``N > k`` partitions; each differing element spoils one partition
-at most, so that two similar sets agree on at least ``N - k`` of them. A set signs with
-the content of each of its partitions that is not empty, for its own band and for the band
-below (partners lie in one of these). The enumerated subsets are single partitions: the
-smallest family, N rather than (N over k) signatures.
+domain is hashed into ``n1 > k / 2`` partitions, and each of these into ``SUB`` parts.
+Two differing elements are needed to spoil a partition twice, so at least ``n1 - k // 2``
+partitions of two similar sets differ in one element at most, and there the sets agree on
+``SUB - 1`` of the parts. A set signs, in each partition, with the content of every subset
+of ``SUB - 1`` parts, for its own band and for the band below (partners lie in one of
+these).
 
 Two guards keep this exact and even:
 
-* partitions that are empty in both sets agree without a signature. A set is *regular*
-  if fewer than ``N - k`` of its partitions are empty; a pair with a regular member shares
-  a signature. An irregular set also signs with each element of its prefix (its first
-  ``n - ceil(SIMILAR * n) + 1`` elements in one global order), so that two of them meet.
+* subsets that are empty in both sets agree without a signature. A set is *regular* if
+  fewer than ``n1 - k // 2`` of its partitions have an empty subset; a pair with a regular
+  member shares a signature. An irregular set also signs with each element of its prefix
+  (its first ``n - ceil(SIMILAR * n) + 1`` elements in one global order), so that two of
+  them meet.
 * shingles that occur very often are left out of the partitions, by one list that all
   sets use (so differences only shrink). Texts that share no more than a boilerplate
   passage have no signature in common then. The list is only a choice of features: which
   ones it holds changes cost, never results.
 
-A set whose shared signatures are fewer than a partner would share (``N - k`` less its
-empty partitions) has no partner, and leaves before anything is compared.
+A set whose shared signatures are fewer than a partner would share (``n1 - k // 2`` less
+its partitions with an empty subset) has no partner, and leaves before anything is compared.
 
 Equal sets are one class. Classes that share a signature are compared with one pivot of
 their bucket instead of with each other; links merge components, and what is left are
-pairs of a bucket in different components. Some rounds with other pivots shrink these,
-then all that remain are compared. No pair is dropped, and pairs inside a component,
-which cannot change it, are never made.
+members of buckets with several components. After ``ROUNDS`` such rounds an element that
+only one of the remaining classes has cannot lie in an intersection: a class's *support*
+is what others have too, an overlap is no larger than either support, and classes whose
+support is too small for any partner leave, which shrinks others. Buckets of up to
+``WIDE`` members make pairs of the classes whose sizes and supports admit a link, so pairs
+are at most ``WIDE / 2`` times a bucket's rows; members of larger buckets are compared in
+blocks, as products of incidence matrices that return merged components only. No pair
+that could link is dropped.
 
 Defined cases: null and blank texts have an empty set and are linked with nothing; fewer
 words than a shingle make one shingle of all; repeated rows share a class; a null doc_id
@@ -38,9 +45,7 @@ counts only where its class has no other id; extra columns stay out.
 
 from __future__ import annotations
 
-import gc
 import math
-import time
 import uuid
 from collections.abc import Iterator
 
@@ -50,17 +55,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloft.llm import bytesvec as B
-from graphloft.llm.common import drop, stage, table
+from graphloft.llm.common import drop, parts, stage, table, tidy
 from graphloft.shipping import ship
 
 #: Words of a shingle; similarity as a ratio of whole numbers.
 WORDS, NUMER, DENOM = 5, 75, 100
-#: Partitions over k, as a share of k.
-SLACK = 0.3
+#: Parts of a partition; partitions over the least number, as a share of k.
+SUB, SLACK = 3, 0.05
 #: Frequent shingles that the partitions leave out, at most, and how frequent they are.
 COMMON, COMMON_SHARE, COMMON_LEAST = 100_000, 0.002, 24
-#: Rounds with one pivot per bucket before all remaining pairs are compared.
-ROUNDS = 4
+#: Rounds with one pivot per bucket; rounds that take classes of small support away.
+ROUNDS, PEELS = 2, 2
+#: Members of a bucket up to which its pairs are rows; sets and elements of a block of a larger one.
+WIDE, BLOCK, ELEMENTS = 64, 512, 1 << 20
 
 
 def bands(top: int) -> list[int]:
@@ -77,12 +84,12 @@ def differ(a: int, b: int) -> int:
 
 
 def partitions(low: int, high: int) -> tuple[int, int]:
-    """(k, N) of the instance for a smaller set of up to `low` and a larger of up to `high` elements."""
+    """(k, n1) of the instance for a smaller set of up to `low` and a larger of up to `high` elements."""
     if low < 64:
         k = max(differ(a, b) for a in range(1, low + 1) for b in range(a, min(high, a * DENOM // NUMER) + 1))
     else:
         k = differ(low, high) + 1
-    return k, k + 1 + math.ceil(SLACK * k)
+    return k, k // 2 + 1 + math.ceil(SLACK * k)
 
 
 def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> list[tuple[np.ndarray, int, int]]:
@@ -94,17 +101,24 @@ def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> list[tupl
     for i in (band, band - 1):
         if i < 0:
             continue
-        k, parts = partitions(ends[i], ends[i + 1] if i + 1 < len(ends) else ends[i] * DENOM // NUMER)
+        k, n1 = partitions(ends[i], ends[i + 1] if i + 1 < len(ends) else ends[i] * DENOM // NUMER)
         if k == 0:
             continue  # only equal sets, and these are one class
-        part = (B.mix(own ^ np.uint64(i + 1)) % np.uint64(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        part, kept = part[order], own[order]
-        head = np.flatnonzero(np.diff(part, prepend=-1))
-        regular &= parts - len(head) < parts - k
-        if len(head):
-            content = np.add.reduceat(B.mix(kept * np.uint64(0xFF51AFD7ED558CCD)), head)
-            out.append((B.mix(content + B.mix(part[head].astype(np.uint64) + np.uint64(i + 1) * np.uint64(1 << 40))), i, max(1, len(head) - k)))
+        h = B.mix(own ^ np.uint64(i + 1))
+        cell = ((h >> np.uint64(20)) % np.uint64(n1 * SUB)).astype(np.int64)
+        content = np.zeros(n1 * SUB, np.uint64)
+        np.add.at(content, cell, B.mix(h * np.uint64(0xFF51AFD7ED558CCD)))
+        has = np.bincount(cell, minlength=n1 * SUB).reshape(n1, SUB) > 0
+        content = content.reshape(n1, SUB)
+        # a subset of SUB - 1 parts is known by the part that it leaves out
+        content = content * np.uint64(0x9E3779B97F4A7C15) + np.arange(1, SUB + 1, dtype=np.uint64)
+        content = B.mix(content)
+        whole = content.sum(1, keepdims=True, dtype=np.uint64) - content
+        whole += (np.arange(n1 * SUB, dtype=np.uint64).reshape(n1, SUB) + np.uint64(i + 1) * np.uint64(1 << 40)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        filled = has.sum(1, keepdims=True) - has > 0
+        sure = n1 - k // 2 - int(n1 - filled.all(1).sum())  # partitions that agree, less those that may agree without a signature
+        regular &= sure > 0
+        out.append((B.mix(whole[filled]), i, max(1, sure)))
     if not regular:
         prefix = n - -(-NUMER * n // DENOM) + 1
         first = np.concatenate([own[np.argsort(B.mix(own))], s[often][np.argsort(B.mix(s[often]))]])[:prefix]
@@ -126,10 +140,11 @@ def _mark(s: np.ndarray) -> int:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(kind, doc_id, n, mark): kind 0 a row's size and class; kind 1 a frequent shingle (mark) and its count (n)."""
+    """(kind, doc_id, tag, n, mark): kind 0 a row's size and class, tag its text's hash; kind 1 a frequent shingle (mark) and its count (n)."""
+    names, kinds = ["kind", "doc_id", "tag", "n", "mark"], (pa.int32(), *[pa.int64()] * 4)
 
     def work(batches):
-        ids, ns, marks = [], [], []
+        ids, tags, ns, marks = [], [], [], []
         pool, rows, seen = [], 0, 0
         out = []
 
@@ -138,20 +153,22 @@ def facts(docs: DataFrame) -> DataFrame:
             if pool:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
                 keep = c >= max(COMMON_LEAST, COMMON_SHARE * rows)
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), pa.nulls(int(keep.sum()), pa.int64()), pa.array(c[keep].astype(np.int64)), pa.array(h[keep].astype(np.int64))], ["kind", "doc_id", "n", "mark"]))
+                none = pa.nulls(int(keep.sum()), pa.int64())
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), none, none, pa.array(c[keep].astype(np.int64)), pa.array(h[keep].astype(np.int64))], names))
             pool, rows, seen = [], 0, 0
 
         def flush():
-            nonlocal ids, ns, marks
+            nonlocal ids, tags, ns, marks
             if ids:
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ids), np.int32)), pa.array(ids, pa.int64()), pa.array(ns, pa.int64()), pa.array(marks, pa.int64())], ["kind", "doc_id", "n", "mark"]))
-            ids, ns, marks = [], [], []
+                out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * len(ids), ids, tags, ns, marks), kinds)], names))
+            ids, tags, ns, marks = [], [], [], []
 
-        last, col = None, None
+        last, col, tag = None, None, None
         for batch, j, s in _sets(batches):
             if batch is not last:
-                last, col = batch, batch.column(batch.schema.get_field_index("doc_id")).to_pylist()
+                last, col, tag = batch, batch.column(batch.schema.get_field_index("doc_id")).to_pylist(), batch.column(batch.schema.get_field_index("tag")).to_pylist()
             ids.append(col[j])
+            tags.append(tag[j])
             ns.append(len(s))
             marks.append(_mark(s))
             pool.append(s)
@@ -166,7 +183,7 @@ def facts(docs: DataFrame) -> DataFrame:
         flush()
         yield from out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(work, "kind int, doc_id long, n long, mark long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(work, "kind int, doc_id long, tag long, n long, mark long")
 
 
 def signatures(docs: DataFrame, common: np.ndarray, top: int) -> DataFrame:
@@ -222,7 +239,6 @@ def candidates(sigs: DataFrame, spark: SparkSession) -> DataFrame:
         new = stage(rows.withColumn("_ok", enough).filter("_ok").drop("_ok"), "jac-sig")
         if left is not None:
             drop(left)
-        _free(spark)
         left, n = new, new.count()
         if t and n > 0.9 * had:
             break
@@ -292,90 +308,167 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").select("a", "b", like.alias("linked"))
 
 
-def _free(spark: SparkSession) -> None:
-    """Lets Spark remove shuffle files that nothing refers to any more."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.3)
-
-
 def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame | None:
-    """(v, root) of the classes of `known` (kind, doc_id, n, mark) that have links."""
+    """(v, root) of the classes of `known` (kind, doc_id, tag, n, mark) that have links."""
     rows = known.filter("kind = 0 AND n > 0")
     top = rows.agg(F.max("n")).first()[0]
     if not top:
         return None
     common = np.sort(np.array([r["mark"] for r in known.filter("kind = 1").groupBy("mark").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "mark").limit(COMMON).collect()], np.int64).view(np.uint64))
     bucket = stage(_one_of_equal(candidates(signatures(docs, common, top), spark)), "jac-bucket")
-    _free(spark)
     member = bucket.select("mark").distinct()
     chosen = rows.join(member, "mark", "left_semi").groupBy("mark").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     name = f"jaccard_sets_{uuid.uuid4().hex[:12]}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    contents(texts.join(chosen, "id").select("text", "mark")).repartition(n, "mark").write.bucketBy(n, "mark").format("parquet").saveAsTable(name)
+    n = parts(spark)
     try:
-        _free(spark)
-        return _linked(bucket, spark.table(name), spark)
+        with tidy(spark):
+            contents(texts.join(chosen, "id").select("text", "mark")).repartition(n, "mark").write.bucketBy(n, "mark").format("parquet").saveAsTable(name)
+        return _linked(bucket, spark.table(name))
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _linked(bucket: DataFrame, sets: DataFrame, spark: SparkSession) -> DataFrame | None:
+def _mixed(rows: DataFrame) -> DataFrame:
+    """Members of the buckets that hold several components."""
+    group = Window.partitionBy("sig")
+    return rows.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).filter("lo < hi").drop("lo", "hi")
+
+
+def _supported(open_: DataFrame, sets: DataFrame) -> DataFrame:
+    """open_ with each class's size n and support e, without classes that have too little of it.
+
+    Elements are counted with a partial aggregate in each task, so one that a third of the
+    classes share costs no more than others.
+    """
+    for _ in range(PEELS):
+        own = sets.join(open_.select("mark").distinct(), "mark", "left_semi")
+        alone = own.select("mark", F.explode("els").alias("x")).groupBy("x").agg(F.min("mark").alias("mark"), F.count(F.lit(1)).alias("c")).filter("c = 1")
+        less = alone.groupBy("mark").agg(F.count(F.lit(1)).alias("less"))
+        e = own.select("mark", "n").join(less, "mark", "left").select("mark", "n", (F.col("n") - F.coalesce("less", F.lit(0))).alias("e"))
+        rows = open_.select("sig", "mark", "root").join(e.filter(f"e * {DENOM} >= n * {NUMER}").distinct(), "mark")
+        new = stage(_mixed(rows), "jac-open")
+        drop(open_)
+        open_ = new
+    return open_
+
+
+def _narrow(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of a bucket of WIDE members at most whose sizes and supports admit a link."""
+    one = rows.select("sig", F.col("mark").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("e").alias("ea"))
+    two = rows.select(F.col("sig").alias("s"), F.col("mark").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("e").alias("eb"))
+    may = (F.least("na", "nb") * DENOM >= F.greatest("na", "nb") * NUMER) & (F.least("ea", "eb") * (NUMER + DENOM) >= NUMER * (F.col("na") + F.col("nb")))
+    return one.join(two, (F.col("sig") == F.col("s")) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & may).select("a", "b").distinct()
+
+
+def _tile(table: pa.Table) -> pa.Table:
+    """(a, b) of a tile's components that links join: each with the least one it leads to."""
+    mark_of, root_of = np.unique(table.column("root").to_numpy(), return_inverse=True)
+    n, els = table.column("n").to_numpy(), table.column("els").combine_chunks()
+    flat, size = els.flatten().to_numpy(), np.diff(els.offsets.to_numpy())
+    row = np.repeat(np.arange(len(n)), size)
+    _, code, often = np.unique(flat, return_inverse=True, return_counts=True)
+    kept = often[code] > 1
+    code, row = (np.cumsum(often > 1) - 1)[code[kept]], row[kept]
+    order = np.argsort(code, kind="stable")
+    code, row = code[order], row[order]
+    both, step = np.zeros((len(n), len(n)), np.float32), 2048
+    for lo in range(0, int(code[-1]) + 1 if len(code) else 0, step):
+        a, b = np.searchsorted(code, (lo, lo + step))
+        part = np.zeros((len(n), step), np.float32)
+        part[row[a:b], code[a:b] - lo] = 1
+        both += part @ part.T
+    linked = DENOM * both.astype(np.float64) >= NUMER * (n[:, None] + n[None, :] - both)
+    least = np.arange(len(mark_of))
+    x, y = np.nonzero(np.triu(linked, 1))
+    x, y = root_of[x], root_of[y]
+    while len(x) and (least[x] != least[y]).any():
+        low = np.minimum(least[x], least[y])
+        np.minimum.at(least, x, low)
+        np.minimum.at(least, y, low)
+        least = least[least]
+    moved = np.flatnonzero(least != np.arange(len(least)))
+    return pa.table({"a": pa.array(mark_of[least[moved]], pa.int64()), "b": pa.array(mark_of[moved], pa.int64())})
+
+
+def _wide(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): components that members of larger buckets link, compared in tiles of two blocks.
+
+    A block has about BLOCK sets and ELEMENTS elements at most; a pair is no row, and a
+    tile returns one row for each component that another one takes in.
+    """
+    blocks = F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("size") / ELEMENTS)).cast("int")
+    dealt = rows.withColumn("nb", blocks).withColumn("i", F.pmod(F.xxhash64("mark"), F.col("nb")).cast("int"))
+    tiles = dealt.select("sig", "mark", "root", "i", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    tiles = tiles.select("sig", F.least("i", "o").alias("i"), F.greatest("i", "o").alias("j"), "mark", "root")
+    return tiles.join(sets, "mark").groupBy("sig", "i", "j").applyInArrow(_tile, "a long, b long")
+
+
+def _linked(bucket: DataFrame, sets: DataFrame) -> DataFrame | None:
     """(v, root) from the buckets (sig, mark, w) of candidates and their sets."""
     group = Window.partitionBy("sig")
     label, found, tried = None, None, None
     open_ = bucket.withColumn("root", F.col("mark"))
-    for t in range(ROUNDS + 1):
-        if t < ROUNDS:  # one pivot for each bucket, another one in each round
-            # even rounds: the member that meets most others (an original among its copies); odd ones: any
-            met = open_.withColumn("n", F.count(F.lit(1)).over(group)).groupBy("mark").agg(F.sum(F.col("n") * F.col("w")).alias("met"))
-            rank = -F.col("met") if t % 2 == 0 else F.xxhash64(F.lit(t), "mark").cast("double")
-            pivot = F.min(F.struct(rank.alias("h"), "mark", "root")).over(group)
-            p = open_.join(met, "mark").withColumn("p", pivot).filter("p.root <> root").select(F.col("p.mark").alias("a"), F.col("mark").alias("b"), "w")
-            if t == 0:  # each member with the pivot that it meets most often
-                p = p.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
-            p = p.select("a", "b").distinct()
-        else:
-            other = open_.select("sig", F.col("mark").alias("b"), F.col("root").alias("rb"))
-            p = open_.join(other, "sig").filter("mark < b AND root <> rb").select(F.col("mark").alias("a"), "b").distinct()
+    for t in range(ROUNDS):  # one pivot for each bucket, another one in each round
+        # even rounds: the member that meets most others (an original among its copies); odd ones: any
+        met = open_.withColumn("n", F.count(F.lit(1)).over(group)).groupBy("mark").agg(F.sum(F.col("n") * F.col("w")).alias("met"))
+        rank = -F.col("met") if t % 2 == 0 else F.xxhash64(F.lit(t), "mark").cast("double")
+        pivot = F.min(F.struct(rank.alias("h"), "mark", "root")).over(group)
+        p = open_.join(met, "mark").withColumn("p", pivot).filter("p.root <> root").select(F.col("p.mark").alias("a"), F.col("mark").alias("b"), "w")
+        if t == 0:  # each member with the pivot that it meets most often
+            p = p.groupBy("a", "b").agg(F.sum("w").alias("w")).groupBy("b").agg(F.max_by("a", F.struct("w", "a")).alias("a"))
+        p = p.select("a", "b").distinct()
         if tried is not None:
             p = p.join(tried, ["a", "b"], "left_anti")
         seen = stage(_verified(p, sets), f"jac-pair{t}")
-        new = seen.filter("linked").select("a", "b")
         both = seen.select("a", "b").union(seen.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tried = both if tried is None else tried.union(both)
-        if not new.isEmpty():
-            found = new if found is None else found.union(new)
-            label = components(found)
-        if t < ROUNDS:
-            rooted = open_.select("sig", "mark", "w")
-            if label is not None:
-                rooted = rooted.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-            else:
-                rooted = rooted.withColumn("root", F.col("mark"))
-            mixed = rooted.withColumns({"lo": F.min("root").over(group), "hi": F.max("root").over(group)}).filter("lo < hi")
-            open_ = stage(mixed.select("sig", "mark", "w", "root"), "jac-open")
-            _free(spark)
-            if open_.isEmpty():
-                break
+        label, found = _merged(label, found, seen)
+        rooted = open_.select("sig", "mark", "w")
+        if label is not None:
+            rooted = rooted.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+        else:
+            rooted = rooted.withColumn("root", F.col("mark"))
+        open_ = stage(_mixed(rooted).select("sig", "mark", "w", "root"), "jac-open")
+        if open_.isEmpty():
+            return label
+    open_ = _supported(open_, sets)
+    if open_.isEmpty():
+        return label
+    sized = stage(open_.withColumns({"m": F.count(F.lit(1)).over(group), "size": F.sum("n").over(group)}), "jac-left")
+    few = _narrow(sized.filter(F.col("m") <= WIDE)).join(tried, ["a", "b"], "left_anti")
+    label, found = _merged(label, found, stage(_verified(few, sets), "jac-few"))
+    wide = sized.filter(F.col("m") > WIDE)
+    if not wide.isEmpty():
+        label, found = _merged(label, found, stage(_wide(wide, sets).withColumn("linked", F.lit(True)), "jac-wide"))
     return label
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row."""
-    spark = docs.sparkSession
-    ship(spark)
+def _merged(label: DataFrame | None, found: DataFrame | None, seen: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
+    """(components, all links) once the links of `seen` are there too."""
+    new = seen.filter("linked").select("a", "b")
+    if new.isEmpty():
+        return label, found
+    found = new if found is None else found.union(new)
+    return components(found), found
+
+
+def _rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, tag, n, mark, root) of each row: its class, and the class that names its component."""
+    ship(docs.sparkSession)
     known = stage(facts(docs), "jac-fact")
-    label = links(docs, known, spark)
+    label = links(docs, known, docs.sparkSession)
     rows = known.filter("kind = 0").drop("kind")
-    lead = rows.filter("n > 0").groupBy("mark").agg(F.min("doc_id").alias("least"))
-    if label is not None:
-        lead = lead.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-        least = lead.groupBy("root").agg(F.min("least").alias("least"))
-        lead = lead.select("mark", "root").join(least, "root").select("mark", "least")
-    out = rows.join(lead, "mark", "left")
+    if label is None:
+        return rows.withColumn("root", F.col("mark"))
+    return rows.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of each row."""
+    rows = _rooted(docs)
+    least = rows.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("least"))
+    out = rows.join(least, "root", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
@@ -384,18 +477,27 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduped(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pipeline's stage: the document of smallest id of each component.
+    """The pipeline's stage: one document of each component, the one of smallest id.
 
-    Rows without an id stay. Of rows with one id and one text, one stays; such rows are
-    few in a sound corpus, and only they are sorted.
+    A row is known by its id and its text's hash: rows that share an id are judged by
+    their own texts, a row without an id comes after all others, and of equal rows one
+    stays. Texts without words are in no component and stay.
     """
-    keep = stage(classes(docs).filter("doc_id = component_id").groupBy("doc_id").agg((F.count(F.lit(1)) > 1).alias("_twice")), "jac-keep")
-    own = docs.join(keep.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"))
-    out = docs.filter("doc_id IS NULL").unionByName(own.filter("NOT _twice").select(*docs.columns))
-    if keep.filter("_twice").isEmpty():
-        return out
-    nth = F.row_number().over(Window.partitionBy("doc_id", "text").orderBy(F.lit(0)))
-    return out.unionByName(own.filter("_twice").withColumn("_nth", nth).filter("_nth = 1").select(*docs.columns))
+    rows = _rooted(docs).withColumn("at", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "tag"))
+    first = rows.filter("n > 0").groupBy("root").agg(F.min("at").alias("at"))
+    keep = stage(first.select("at.doc_id", "at.tag").union(rows.filter("n = 0").select("doc_id", "tag").distinct()), "jac-keep")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    key, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    own = own.withColumns({"k": key.cast("long"), "t": F.xxhash64(text)})
+    kept = own.join(keep.toDF("k2", "t2"), F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2")), "left_semi")
+    again = stage(own.groupBy("k", "t").count().filter("count > 1").select(F.col("k").alias("k2"), F.col("t").alias("t2")), "jac-again")
+    if again.isEmpty():
+        return kept.select(*names).toDF(*docs.columns)
+    twice = F.col("k").eqNullSafe(F.col("k2")) & (F.col("t") == F.col("t2"))
+    nth = F.row_number().over(Window.partitionBy("k", "t").orderBy(F.lit(0)))
+    one = kept.join(again, twice, "left_semi").withColumn("nth", nth).filter("nth = 1")
+    return kept.join(again, twice, "left_anti").select(*names).unionByName(one.select(*names)).toDF(*docs.columns)
 
 
 SQL = r"""

@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 
 from graphloft.llm import bytesvec as B
 from graphloft.llm.common import stage, table
-from graphloft.llm.jaccard import _free
 from graphloft.shipping import ship
 
 #: Fixed value: bytes of a string that counts as repeated.
@@ -301,7 +300,6 @@ def spans(docs: DataFrame) -> DataFrame:
     a = parts.withColumns({"n": F.count(F.lit(1)).over(by_key), "lo": F.min("content").over(by_key), "hi": F.max("content").over(by_key)}).filter("n > 1")
     a = a.withColumn("nr", F.row_number().over(same))
     a = stage(a.filter("nr > 1 OR lo < hi").select(F.when(F.col("nr") == 1, F.col("key")).alias("key"), "d", "nth", "start", "length"), "suf-part")
-    _free(spark)
     whole = a.filter("key IS NULL").select("d", "nth", "start", (F.col("start") + F.col("length")).alias("end"))
     asked = a.filter("key IS NOT NULL").groupBy("d", "nth").agg(F.collect_list(F.struct("key", "start", "length")).alias("at"))
 
@@ -341,7 +339,6 @@ def spans(docs: DataFrame) -> DataFrame:
             yield one(rows)
 
     inner = stage(sorted_.mapInArrow(sort, "d long, nth int, start long, end long"), "suf-inner")
-    _free(spark)
     return whole.unionByName(inner)
 
 

@@ -340,6 +340,40 @@ def test_components_against_brute_force(spark, monkeypatch, seed, words, common)
     assert got == brute_components(data)
 
 
+def near_copies(seed, n=70, words=60):
+    """One text with 0 to 8 words replaced, so that many members fail the similarity with many others."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(words)]
+    out = []
+    for i in range(n):
+        ws = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 3, 4, 8])):
+            ws[rng.randrange(words)] = f"x{rng.randrange(40)}"
+        out.append((i, " ".join(ws)))
+    return out
+
+
+@pytest.mark.parametrize("wide,block,elements", [(64, 512, 1 << 20), (1, 8, 1 << 20), (3, 512, 300)])
+def test_near_copies_in_rows_and_in_blocks(spark, monkeypatch, wide, block, elements):
+    for name, value in (("WIDE", wide), ("BLOCK", block), ("ELEMENTS", elements), ("ROUNDS", 1)):
+        monkeypatch.setattr(jaccard, name, value)
+    data = near_copies(wide)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    want = brute_components(data)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+
+
+def test_deduped_keeps_rows_of_one_id_apart(spark):
+    text = "one two three four five six seven eight"
+    data = [(1, text, "a"), (1, "other words than those of the first row of that id", "b"), (2, text, "c"), (None, text, "d"), (None, "a text that no other row has in it", "e"), (3, None, "f"), (3, None, "g"), (2, text, "h")]
+    names = ["doc_id", "text", "k", "t", "k2", "c0", "mark", "root", "nth", "_id", "_twice", "tag"]
+    frame = spark.createDataFrame([(*r, *["z"] * 9) for r in data], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:]))
+    out = jaccard.deduped(spark, frame, "")
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == names
+    assert got == sorted([(1, text), (1, data[1][1]), (None, data[4][1]), (3, None)], key=str)
+
+
 def test_signatures_meet_for_every_similar_pair():
     rng = np.random.default_rng(0)
     ends = jaccard.bands(400)
