@@ -7,10 +7,13 @@ multinomials follow, and a document's score is the mean over its n-grams of
 document. Only DataFrame functions are used; the corpus is read once to count and once
 to score, and nothing but the counters (at most ``BUCKETS`` rows) reaches the driver.
 
+Each word is hashed once as it stands (windows) and once in lower case (n-grams); pairs
+and windows combine these hashes.
+
 Defined cases: a null or blank text has no words, fails the base rules and is not kept;
 a row is judged by itself, so repeated rows and null ids get equal verdicts; without
-labelled documents the target equals the corpus and every score is 0; other columns of
-the input are ignored.
+labelled documents the target equals the corpus and every score is 0; an input column
+with the name of an added one is left out, and any other name may occur.
 """
 
 from __future__ import annotations
@@ -35,12 +38,13 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEAT = 10, 5, 20
 
 
-def _grams(ws):
-    """Buckets of a word array's n-grams: each word, and each pair of neighbours."""
-    bucket = lambda *c: F.pmod(F.xxhash64(*c), F.lit(BUCKETS)).cast("int")
-    one = F.transform(ws, lambda w: bucket(F.lower(w)))
-    two = F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: bucket(F.lower(a), F.lower(b)))
-    return F.concat(one, two)
+def _bucket(h):
+    return F.pmod(h, F.lit(BUCKETS)).cast("int")
+
+
+def _pairs(array):
+    """Each element with the next one; the last has null beside it."""
+    return F.arrays_zip(array.alias("a"), F.slice(array, F.lit(2), F.size(array)).alias("b"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -54,9 +58,11 @@ def fit(docs: DataFrame, labels: DataFrame, few: int = FEW) -> list[float]:
     small = target.count() <= few
     target = target.withColumn("is_target", F.lit(1))
     target = F.broadcast(target) if small else target
+    # a row for each word and its successor; hashing is compiled code there, and counts are summed in each task
+    each = docs.select("doc_id", "text").join(target, "doc_id", "left").select("is_target", F.explode(_pairs(words(F.lower("text")))).alias("x"))
+    two = F.when(F.col("x.b").isNotNull(), _bucket(F.xxhash64(F.xxhash64("x.a"), F.xxhash64("x.b"))))
     counted = (
-        docs.select("doc_id", "text").join(target, "doc_id", "left")
-        .select("is_target", F.explode(_grams(words(F.col("text")))).alias("bucket"))
+        each.select("is_target", F.explode(F.array(_bucket(F.xxhash64("x.a")), two)).alias("bucket")).filter("bucket IS NOT NULL")
         .groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count("is_target").alias("target"))
         .collect()
     )
@@ -71,44 +77,59 @@ def fit(docs: DataFrame, labels: DataFrame, few: int = FEW) -> list[float]:
     return [math.log((a + PRIOR) / m) - math.log((r * 1.0 + PRIOR / rate) / (n + (PRIOR / rate - PRIOR) * BUCKETS)) for r, a in zip(raw, aim)]
 
 
-def rules(docs: DataFrame) -> DataFrame:
-    """The base counts of each document, its words kept in `ws`."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0)
-    lines = F.when(F.contains(text, F.lit("\n")), lines)
-    a = docs.select("*", words(F.col("text")).alias("ws"), lines.alias("_lines"))
-    window = F.transform(F.sequence(F.lit(1), F.size("ws") - (WINDOW - 1)), lambda i: F.xxhash64(F.slice("ws", i, WINDOW)))
-    b = a.select("*", F.when(F.size("ws") >= WINDOW, window).otherwise(F.array().cast("array<bigint>")).alias("_h"))
-    ordered = F.array_sort(F.transform("_h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+#: Columns that judge() adds; columns of the input that have these names are left out.
+BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+ADDED = (*BASE, "base_failed", "score", "kept")
+
+
+def _without(text, characters: str):
+    for c in characters:
+        text = F.replace(text, F.lit(c))
+    return text
+
+
+def _judged(docs: DataFrame, model: list[float], threshold: float) -> DataFrame:
+    """Columns c0, c1, ... of docs in order, then ADDED."""
+    ratio, own = numbers(model), [f"c{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(F.col(own[docs.columns.index("text")]), F.lit(""))
+    lines = F.when(F.contains(text, F.lit("\n")), F.filter(F.split(text, "\n"), lambda x: F.length(F.regexp_replace(x, SPACE, "")) > 0))
+    hashes = lambda x: F.transform(words(x), lambda w: F.xxhash64(w))
+    a = docs.toDF(*own).select(*own, words(text).alias("ws"), hashes(F.lower(text)).alias("low"), lines.alias("lines"))
+    b = a.withColumn("h", F.transform("ws", lambda w: F.xxhash64(w)))
+    window = F.transform("h", lambda x, i: F.xxhash64(x, *[F.get("h", i + j) for j in range(1, WINDOW)]))
+    c = b.withColumn("h", F.slice(window, F.lit(1), F.greatest(F.size("h") - (WINDOW - 1), F.lit(0))))
+    ordered = F.array_sort(F.transform("h", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     # sorted by (hash, place): a window is repeated if a neighbour has its hash
-    c = b.select("*", F.when(F.size(F.array_distinct("_h")) < F.size("_h"), ordered).alias("_s"))
-    twice = F.array_sort(F.transform(F.filter("_s", lambda x, i: F.coalesce(F.get("_s", i - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get("_s", i + 1)["h"] == x["h"], F.lit(False))), lambda x: x["i"]))
-    d = c.select("*", twice.alias("_at"))
-    covered = F.aggregate(F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
-    return d.select(
-        *docs.columns, "ws",
+    d = c.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), ordered))
+    like = lambda x, i: F.coalesce(F.get("s", i)["h"] == x["h"], F.lit(False))
+    e = d.withColumn("at", F.array_sort(F.transform(F.filter("s", lambda x, i: like(x, i - 1) | like(x, i + 1)), lambda x: x["i"])))
+    covered = F.aggregate(F.transform("at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("at", i + 1) - p, F.lit(WINDOW)))), F.lit(0), lambda s, x: s + x)
+    gram = lambda a, b: F.get(ratio, _bucket(a)) + F.when(b.isNull(), 0.0).otherwise(F.get(ratio, _bucket(F.xxhash64(a, b))))
+    total = F.aggregate(F.zip_with("low", F.slice("low", F.lit(2), F.size("low")), gram), F.lit(0.0), lambda s, x: s + x)
+    f = e.select(
+        *own,
         F.size("ws").cast("long").alias("n_words"),
-        F.char_length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.char_length(text) - F.char_length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        F.coalesce(F.size("_lines") - F.size(F.array_distinct("_lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
+        F.char_length(F.array_join("ws", "")).cast("long").alias("word_chars"),
+        (F.octet_length(text) - F.octet_length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.coalesce(F.size("lines") - F.size(F.array_distinct("lines")), F.lit(0)).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
+        (total / F.greatest(2 * F.size("low") - 1, F.lit(1))).alias("score"),
     )
+    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
+    g = f.withColumn("base_failed", failed)
+    return g.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).select(*own, *ADDED)
 
 
 def judge(docs: DataFrame, model: list[float], threshold: float = THRESHOLD) -> DataFrame:
     """docs with the base counts, base_failed, score and kept."""
-    ratio = numbers(model)
-    taken = [c for c in docs.columns if c not in ("ws", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")]
-    a = rules(docs.select(*taken)).withColumn("_g", _grams(F.col("ws")))
-    score = F.aggregate("_g", F.lit(0.0), lambda s, g: s + F.get(ratio, g)) / F.greatest(F.size("_g"), F.lit(1))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words"))
-    return a.withColumns({"base_failed": failed, "score": score}).withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold)).drop("_g", "ws")
+    out = _judged(docs, model, threshold)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED], *ADDED)
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, table(spark, sf_dir, "labels"))
-    return judge(docs.select("doc_id", "text"), model).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "score", "kept")
+    return judge(docs.select("doc_id", "text"), model).select("doc_id", *BASE, "base_failed", "score", "kept")
 
 
 def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -116,5 +137,6 @@ def keep(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = fit(docs, table(spark, sf_dir, "labels"))
     # A plain filter would be pushed below the verdict, with every step of it written out
     # again inside its condition; rows leave through a generator instead.
-    row = F.explode_outer(F.when(F.col("kept"), F.array(F.struct(*[F.col(f"`{c}`") for c in docs.columns]))))
-    return judge(docs, model).select(row.alias("row")).filter("row IS NOT NULL").select("row.*")
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    row = F.explode_outer(F.when(F.col("kept"), F.array(F.struct(*own))))
+    return _judged(docs, model, THRESHOLD).select(row.alias("row")).filter("row IS NOT NULL").select("row.*").toDF(*docs.columns)

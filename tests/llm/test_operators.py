@@ -1,11 +1,14 @@
 import hashlib
+import math
 import random
 import re
+import struct
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 
 from graphloft.llm import bytesvec, decontaminate, jaccard, language, mixing, quality, secrets, suffixes, tokens, toxicity, warc
 from graphloft.llm.common import new_path
@@ -102,6 +105,55 @@ def test_quality_against_brute_force(spark, docs):
     assert {r["score"] for r in quality.judge(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def spark_hash(x, seed=42):
+    """The engine's 64-bit hash of a string or of a whole number."""
+    return xxhash.xxh64(x.encode() if isinstance(x, str) else struct.pack("<q", x), seed=seed & (2**64 - 1)).intdigest()
+
+
+def signed(h):
+    return h - 2**64 if h >= 2**63 else h
+
+
+def brute_scores(docs, good):
+    """Mean log ratio of each document's words and word pairs, from Counters."""
+    size, prior = quality.BUCKETS, quality.PRIOR
+
+    def grams(text):
+        hs = [signed(spark_hash(w)) for w in WORD.findall((text or "").lower())]
+        return [h % size for h in hs] + [signed(spark_hash(b, signed(spark_hash(a)))) % size for a, b in zip(hs, hs[1:])]
+
+    raw, aim = Counter(), Counter()
+    for i, x in docs:
+        raw.update(grams(x))
+        if i in good:
+            aim.update(grams(x))
+    if not aim:
+        return {i: 0.0 for i, _ in docs}
+    n, m = sum(raw.values()) + prior * size, sum(aim.values()) + prior * size
+    wide = prior * n / m
+    ratio = lambda g: math.log((aim[g] + prior) / m) - math.log((raw[g] + wide) / (n + (wide - prior) * size))
+    return {i: sum(map(ratio, grams(x))) / max(1, len(grams(x))) for i, x in docs}
+
+
+def test_quality_score_against_brute_force(spark):
+    rng = random.Random(4)
+    voc = ["Good", "words", "ÉTÉ", "x1", "tail", "%%", "Other"]
+    data = [(i, " ".join(rng.choice(voc) for _ in range(rng.choice([0, 1, 2, 12, 40])))) for i in range(40)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(0, 40, 2)], "doc_id long, quality int, toxic int")
+    want = brute_scores(data, {i for i in range(0, 40, 2) if i % 3})
+    got = {r["doc_id"]: r["score"] for r in quality.judge(docs, quality.fit(docs, labels)).collect()}
+    assert got == {i: pytest.approx(x, abs=1e-9) for i, x in want.items()}
+
+
+def test_quality_takes_any_column_names(spark):
+    names = ["doc_id", "text", "ws", "low", "lines", "h", "s", "at", "c0", "c7", "row", "kept", "score", "_lines", "_h", "_s", "_at", "_g", "x", "is_target", "bucket", "n_words"]
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)), *["z"] * 20), (2, "short", *["z"] * 20)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:]))
+    model = [0.0] * quality.BUCKETS
+    assert [r["kept"] for r in quality.judge(docs, model).orderBy("doc_id").collect()] == [True, False]
+    assert set(quality.judge(docs, model).columns) == set(names) | set(quality.ADDED)
+
+
 def test_quality_ratio(spark):
     docs = spark.createDataFrame([(i, "good words are here " * 5) for i in range(20)] + [(100 + i, "@@ ## junk%% %%% " * 5) for i in range(20)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int")

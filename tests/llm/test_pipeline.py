@@ -1,43 +1,59 @@
+import random
+
 import pytest
 
 import corpus_pipeline
-from graphloft.llm import jaccard, quality
+from graphloft.llm import decontaminate, jaccard, quality, secrets
 from tests.llm import test_operators as t
 
-BODY = "the small green house stands by the water and children play there every summer while {0} old boats sleep along {1} shore"
+VOCABULARY = [a + b for a in ("ba", "ce", "di", "fo", "gu", "la", "me", "ni", "po", "ru") for b in ("nd", "rk", "st", "ll", "mp", "sh", "rn")]
+GOOD = [*range(30), 100, 101, 102, 105, 107]
+PASSAGE = "Alpha beta gamma delta epsilon zeta eta theta iota kappa"
 
 
 @pytest.fixture(scope="module")
 def folder(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("in"))
-    rows = [(i, " ".join(BODY.format(f"w{i}a{j}", f"w{i}b{j}") for j in range(6)), "en", f"s{i % 3}") for i in range(30)]
-    rows += [(100, rows[3][1], "en", "s1"), (101, rows[4][1] + " more", "en", "s2"), (102, rows[5][1] + " token = abcdef0123456789", "en", None), (103, "short", "en", "s1"), (104, None, "en", "s1"), (105, rows[6][1].replace("w6a0", "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"), "en", "s0")]
+    rng = random.Random(11)
+    rows = [(i, " ".join(rng.choice(VOCABULARY) for _ in range(rng.randrange(40, 90))), "en", f"s{i % 3}") for i in range(30)]
+    text = lambda i: rows[i][1]
+    own = lambda: " ".join(rng.choice(VOCABULARY) for _ in range(50))
+    rows += [
+        (100, text(3), "en", "s1"), (101, text(4) + " more", "en", "s2"), (102, own() + " token = abcdef0123456789", "en", None), (103, "short", "en", "s1"), (104, None, "en", "s1"),
+        (105, own() + " " + PASSAGE.lower() + " " + own(), "en", "s0"), (106, " ".join(["one two three four five six"] * 10), "en", "s0"), (107, own() + " " + " ".join(PASSAGE.split()[:9]), "en", "s0"),
+        (108, " ".join(f"%{i}#" for i in range(50)), "en", "s0"),
+    ]
     rows.append(rows[2])
     spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{at}/documents.parquet")
-    spark.createDataFrame([(i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
-    spark.createDataFrame([(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa")], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in GOOD], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    spark.createDataFrame([(1, PASSAGE)], "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
 def test_stages_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     labels = spark.read.parquet(f"{folder}/labels.parquet")
-    model = quality.fit(docs, labels)
-    good = {r["doc_id"] for r in quality.judge(docs, model).filter("kept").collect()}
+    texts = [(r["doc_id"], r["text"]) for r in docs.dropDuplicates(["doc_id"]).collect()]
+    score = t.brute_scores(texts, set(GOOD))
+    base = {i: t.brute_base(x) for i, x in texts}
+    good = {i for i, _ in texts if base[i][0] >= 10 and 100 * base[i][4] <= 20 * base[i][0] and score[i] >= quality.THRESHOLD}
+    assert good == set(GOOD) and base[108][0] >= 10 and base[108][4] == 0
     kept = quality.keep(spark, docs, folder)
-    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == good and not good & {103, 104}
-    pairs = [(r["doc_id"], r["text"]) for r in kept.dropDuplicates(["doc_id"]).collect()]
-    lead = {c for _, c in t.brute_components(pairs).values()}
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == good and kept.count() == len(good) + 1
+    lead = {c for _, c in t.brute_components([(i, x) for i, x in texts if i in good]).values()}
     one = jaccard.deduped(spark, kept, folder)
-    got = [r["doc_id"] for r in one.collect()]
-    assert sorted(got) == sorted(lead)
+    assert sorted(r["doc_id"] for r in one.collect()) == sorted(lead) and not lead & {100, 101} and {3, 4, 102, 105, 107} <= lead
+    leaked = {i for i, _, hit, _ in t.brute_leaks([(i, x) for i, x in texts if i in lead], [(1, PASSAGE)]) if hit}
+    clean = decontaminate.clean(spark, one, folder)
+    assert leaked == {105} and {r["doc_id"] for r in clean.collect()} == lead - leaked
+    texts = {r["doc_id"]: r["text"] for r in secrets.masked(spark, clean, folder).collect()}
+    assert "[SECRET]" in texts[102] and "abcdef0123456789" not in texts[102] and sum("[SECRET]" in x for x in texts.values()) == 1
     result = corpus_pipeline.run(spark, folder).collect()
-    leaked = {i for i, _, hit, _ in t.brute_leaks([(i, x) for i, x in pairs if i in lead], [(1, "Alpha beta gamma delta epsilon zeta eta theta iota kappa")]) if hit}
-    assert {r["doc_id"] for r in result} == lead - leaked and leaked == {105}
+    assert {r["doc_id"] for r in result} == lead - leaked and len(result) == len(lead - leaked)
     size = {}
     for r in result:
+        assert r["size"] == len(t.WORD.findall(texts[r["doc_id"]])) and r["taken"] <= 2 * r["size"]
         size[r["source"]] = size.get(r["source"], 0) + r["size"]
-        assert r["taken"] <= 2 * r["size"]
     goal = t.brute_targets(size)
     assert all(r["target"] == pytest.approx(goal[r["source"]]) for r in result)
 
