@@ -24,6 +24,9 @@ Two guards keep this exact and even:
   passage have no signature in common then. The list is only a choice of features: which
   ones it holds changes cost, never results.
 
+Before that, most sets without a partner leave: of the least elements of a set, as many as
+`probe` says, a partner has some; elements that one class has alone count against it.
+
 A set whose shared signatures are fewer than a partner would share (``n1 - k // 2`` less
 its partitions with an empty subset) has no partner, and leaves before anything is compared.
 
@@ -66,6 +69,8 @@ SUB, SLACK = 3, 0.05
 COMMON, COMMON_SHARE, COMMON_LEAST = 100_000, 0.002, 24
 #: Rounds with one pivot per bucket; rounds that take classes of small support away.
 ROUNDS, PEELS = 2, 2
+#: A set must share one in PROBE of its elements among its least ones, at least, to sign.
+PROBE = 10
 #: Members of a bucket up to which its pairs are rows; sets and elements of a block of a larger one.
 WIDE, BLOCK, ELEMENTS = 64, 512, 1 << 20
 
@@ -92,6 +97,18 @@ def partitions(low: int, high: int) -> tuple[int, int]:
     return k, k // 2 + 1 + math.ceil(SLACK * k)
 
 
+def probe(n):
+    """(p, l) of a set of n elements: of its p least, a similar set has at least l; numbers or columns.
+
+    They share ``SIMILAR * n`` elements or more, so any ``n`` less that many, and ``l``, hold ``l`` of these.
+    """
+    if isinstance(n, int):
+        least = max(1, n // PROBE)
+        return n - -(-NUMER * n // DENOM) + least, least
+    least = F.greatest(F.lit(1), F.floor(n / PROBE)).cast("long")
+    return n - F.ceil(n * NUMER / DENOM).cast("long") + least, least
+
+
 def _signatures(s: np.ndarray, common: np.ndarray, ends: list[int]) -> list[tuple[np.ndarray, int, int]]:
     """(signatures, instance, need): a partner in that instance shares `need` of the set's signatures there."""
     n = len(s)
@@ -140,11 +157,14 @@ def _mark(s: np.ndarray) -> int:
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """(kind, doc_id, tag, n, mark): kind 0 a row's size and class, tag its text's hash; kind 1 a frequent shingle (mark) and its count (n)."""
-    names, kinds = ["kind", "doc_id", "tag", "n", "mark"], (pa.int32(), *[pa.int64()] * 4)
+    """(kind, doc_id, tag, n, mark, first): kind 0 a row's size and class, tag its text's hash; kind 1 a frequent shingle (mark) and its count (n).
+
+    first holds the least ``probe(n)`` elements, once for the equal sets of a task.
+    """
+    names, kinds = ["kind", "doc_id", "tag", "n", "mark", "first"], (pa.int32(), *[pa.int64()] * 4, pa.list_(pa.int64()))
 
     def work(batches):
-        ids, tags, ns, marks = [], [], [], []
+        ids, tags, ns, marks, firsts, met = [], [], [], [], [], set()
         pool, rows, seen = [], 0, 0
         out = []
 
@@ -154,14 +174,14 @@ def facts(docs: DataFrame) -> DataFrame:
                 h, c = np.unique(np.concatenate(pool), return_counts=True)
                 keep = c >= max(COMMON_LEAST, COMMON_SHARE * rows)
                 none = pa.nulls(int(keep.sum()), pa.int64())
-                out.append(pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), none, none, pa.array(c[keep].astype(np.int64)), pa.array(h[keep].astype(np.int64))], names))
+                out.append(pa.RecordBatch.from_arrays([pa.array(np.ones(keep.sum(), np.int32)), none, none, pa.array(c[keep].astype(np.int64)), pa.array(h[keep].astype(np.int64)), pa.nulls(int(keep.sum()), pa.list_(pa.int64()))], names))
             pool, rows, seen = [], 0, 0
 
         def flush():
-            nonlocal ids, tags, ns, marks
+            nonlocal ids, tags, ns, marks, firsts
             if ids:
-                out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * len(ids), ids, tags, ns, marks), kinds)], names))
-            ids, tags, ns, marks = [], [], [], []
+                out.append(pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([0] * len(ids), ids, tags, ns, marks, firsts), kinds)], names))
+            ids, tags, ns, marks, firsts = [], [], [], [], []
 
         last, col, tag = None, None, None
         for batch, j, s in _sets(batches):
@@ -170,12 +190,17 @@ def facts(docs: DataFrame) -> DataFrame:
             ids.append(col[j])
             tags.append(tag[j])
             ns.append(len(s))
-            marks.append(_mark(s))
+            marks.append(m := _mark(s))
+            new = len(s) and m not in met
+            firsts.append(s[: probe(len(s))[0]].view(np.int64) if new else None)
+            if len(met) > 500_000:
+                met.clear()
+            met.add(m)
             pool.append(s)
             rows, seen = rows + 1, seen + len(s)
             if seen > 1 << 21:
                 often()
-            if len(ids) >= 10_000:
+            if len(ids) >= 5_000:
                 flush()
             while out:
                 yield out.pop()
@@ -183,38 +208,33 @@ def facts(docs: DataFrame) -> DataFrame:
         flush()
         yield from out
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(work, "kind int, doc_id long, tag long, n long, mark long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tag")).mapInArrow(work, "kind int, doc_id long, tag long, n long, mark long, first array<long>")
 
 
-def signatures(docs: DataFrame, common: np.ndarray, top: int) -> DataFrame:
-    """(sig, mark, need) of each set; equal sets of a task sign once. need also holds the instance."""
+def signatures(sets: DataFrame, common: np.ndarray, top: int) -> DataFrame:
+    """(sig, mark, need) of each set (mark, els). need also holds the instance."""
     ends = bands(top)
-    sent = docs.sparkSession.sparkContext.broadcast(common)  # COMMON values at most
+    sent = sets.sparkSession.sparkContext.broadcast(common)  # COMMON values at most
 
     def work(batches):
-        common, known, sigs, marks, needs, n = sent.value, set(), [], [], [], 0
+        common, sigs, marks, needs, n = sent.value, [], [], [], 0
         pack = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).view(np.int64)), pa.array(np.concatenate(marks)), pa.array(np.concatenate(needs))], ["sig", "mark", "need"])
-        for _, _, s in _sets(batches):
-            if not len(s):
-                continue
-            m = _mark(s)
-            if m in known:
-                continue
-            if len(known) > 500_000:
-                known.clear()
-            known.add(m)
-            for g, instance, need in _signatures(s, common, ends):
-                sigs.append(g)
-                marks.append(np.full(len(g), m, np.int64))
-                needs.append(np.full(len(g), (instance + 1) << 40 | need, np.int64))
-                n += len(g)
-            if n > 200_000:
-                yield pack()
-                sigs, marks, needs, n = [], [], [], 0
+        for batch in batches:
+            own, els = batch.column(0).to_numpy(), batch.column(1)
+            flat, at = els.values.to_numpy().view(np.uint64), els.offsets.to_numpy()
+            for j, m in enumerate(own):
+                for g, instance, need in _signatures(flat[at[j] : at[j + 1]], common, ends):
+                    sigs.append(g)
+                    marks.append(np.full(len(g), m, np.int64))
+                    needs.append(np.full(len(g), (instance + 1) << 40 | need, np.int64))
+                    n += len(g)
+                if n > 200_000:
+                    yield pack()
+                    sigs, marks, needs, n = [], [], [], 0
         if n:
             yield pack()
 
-    return docs.select("text").mapInArrow(work, "sig long, mark long, need long")
+    return sets.select("mark", "els").mapInArrow(work, "sig long, mark long, need long")
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -315,16 +335,19 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
     if not top:
         return None
     common = np.sort(np.array([r["mark"] for r in known.filter("kind = 1").groupBy("mark").agg(F.sum("n").alias("c")).orderBy(F.desc("c"), "mark").limit(COMMON).collect()], np.int64).view(np.uint64))
-    bucket = stage(_one_of_equal(candidates(signatures(docs, common, top), spark)), "jac-bucket")
-    member = bucket.select("mark").distinct()
-    chosen = rows.join(member, "mark", "left_semi").groupBy("mark").agg(F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
+    each = known.filter("first IS NOT NULL").select("mark", F.explode("first").alias("x"))
+    alone = each.groupBy("x").agg(F.min("mark").alias("mark"), F.max("mark").alias("hi")).filter("mark = hi").groupBy("mark").agg(F.count(F.lit(1)).alias("alone"))
+    p, least = probe(F.col("n"))
+    own = rows.groupBy("mark").agg(F.first("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
+    chosen = own.join(alone, "mark", "left").filter(p - F.coalesce("alone", F.lit(0)) >= least).select("mark", "id")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     name = f"jaccard_sets_{uuid.uuid4().hex[:12]}"
     n = parts(spark)
     try:
         with tidy(spark):
             contents(texts.join(chosen, "id").select("text", "mark")).repartition(n, "mark").write.bucketBy(n, "mark").format("parquet").saveAsTable(name)
-        return _linked(bucket, spark.table(name))
+        sets = spark.table(name)
+        return _linked(stage(_one_of_equal(candidates(signatures(sets, common, top), spark)), "jac-bucket"), sets)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
