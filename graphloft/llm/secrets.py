@@ -1,22 +1,29 @@
 """Secret scans: base patterns, and character Markov models compared by likelihood.
 
-Two first-order Markov models over characters are trained from labelled samples: random
-strings (label 1) and ordinary identifiers (label 0). Their log ratio per transition is a
-table of fixed size. Every run of 20 or more key characters that holds a letter and a
-digit is scored by its mean log ratio; from ``THRESHOLD`` on it is a span of kind
-``markov``, unless a base span covers some of it already.
+First-order Markov models over characters are trained from labelled samples: one for each
+family of random strings (label 1: hexadecimal, base32, base62, base64) and one for
+ordinary identifiers (label 0: words in the usual ways of writing names, paths and
+versions). A run of key characters scores, for each family, the sum over its transitions
+of ``log P_random - log P_ordinary``; from ``THRESHOLD`` on for any family it is a span of
+kind ``markov``, unless a base span covers some of it already.
+
+No rule on length or content cuts runs off: an evidence of ``THRESHOLD`` needs a number of
+transitions, since none contributes more than the tables' greatest entry, and only runs
+that are too short for that are not scored.
 
 All work is DataFrame functions over whole texts. A match's place follows from the
 lengths of matches and of what lies between them, so one pass per pattern is enough.
 
 Defined cases: a null text is empty and has no spans; rows are judged one by one, so
-repeated rows and null ids are fine; other columns are ignored.
+repeated rows and null ids are fine; other columns are kept, and those of the input that
+have the name of an added one are left out.
 """
 
 from __future__ import annotations
 
 import hashlib
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,57 +35,119 @@ ASSIGN = r"""(?=[PpSsTtAa])(?i:password|passwd|secret|token|api_?key)["']?\x20*[
 ACCESS = r"AKIA[A-Z0-9]{16,}"  # a run that is too short fails whole, as it does in `AKIA[A-Z0-9]+`
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}"  # likewise; runs are maximal
 KINDS = ("assign", "access", "hex", "markov")
-#: Runs that the models judge.
-RUN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}+"
-THRESHOLD = 0.0
-ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-"
-
-#: Labelled sample, label 0: ordinary identifiers.
-IDENTIFIERS = """
-max_batch_size_2 user_profile_id_v2 http2_server_connection getElementById2 utf8_decode_buffer sha256_digest_length
-base64_encode_string parse_iso8601_timestamp read_int32_little_endian customer_order_line_1 build-linux-x86_64-release
-index_2024_01_archive com/example/project/module3/Main2 src/main/java/v1/controller vector3_cross_product
-load_balancer_pool_01 test_case_number_15 release-candidate-2024-10 convert_utf16_to_utf8 mp3_player_volume_level
-ipv4_address_validator ipv6_prefix_length_64 oauth2_client_redirect_uri s3_bucket_region_name k8s_cluster_node_3
-webpack4-babel-preset-env2 jquery-ui-datepicker-1 backup-2023-12-31-daily section_4_paragraph_12 chapter10_summary_notes
-the_quick_brown_fox_2 articles/2021/05/17/how-to-write user1234567890 session_timeout_minutes_30 default_page_size_100
-matrix4x4_inverse_transform array2d_row_column_sum float64_to_string_fast int16_t_overflow_check step1_prepare_input
-phase2_rollout_schedule region_us_east_1_primary eu-central-1-database-replica layer3_hidden_units_256 resnet50_feature_map
-checkpoint_epoch_20_loss experiment_run_0042_config page2_previous_next_links heading1_style_sheet column12_grid_width
-transactionHistoryReport2 calculateMonthlyInterest12 openNewWindowWithTitle1 renderHtml5VideoPlayer sendEmailNotification3
+#: Characters of the runs that the models judge.
+KEY = "A-Za-z0-9+/_-"
+#: Evidence from which a run is a secret, in natural units.
+THRESHOLD = 20.0
+#: Share of each model's row that is dealt evenly, so that no transition is impossible.
+FLOOR = 0.1
+#: Codes of characters: places from the first key character to the last.
+FIRST, CODES = ord("+"), ord("z") - ord("+") + 1
+LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+#: Families of random strings, by their letters.
+FAMILIES = {
+    "hex": DIGITS + "abcdef",
+    "upper hex": DIGITS + "ABCDEF",
+    "base32": UPPER + "234567",
+    "base62": LOWER + UPPER + DIGITS,
+    "base64": LOWER + UPPER + DIGITS + "+/",
+    "base64url": LOWER + UPPER + DIGITS + "-_",
+}
+#: Words that ordinary identifiers and texts are made of.
+WORDS = """
+user name count index value list map file path line column order customer number region price total amount address
+buffer decode encode string parse timestamp digest length server connection client request response header session
+timeout config default version release build test case module function class method object field table query result
+window page title section chapter summary the and with from that this have would there their which about other into
+time people water between through however information government international development understanding particularly
+administration responsibility characteristics communication independent environment relationship knowledge strength
+und der die das nicht werden zwischen gesellschaft entwicklung wissenschaft geschichte verantwortung moeglichkeit
+les des une pour dans avec plus entre aux eaux eux deux yeux mieux choix voix toujours cependant connaissance gouvernement developpement environnement
+los las una para como pero entre siempre gobierno desarrollo conocimiento informacion responsabilidad universidad
+thing rest station nation ment tion ing ness able ence ation
 """.split()
 
 
-def labelled(n: int = 2000) -> list[tuple[str, int]]:
-    """The training sample: n random strings from a fixed stream, and the identifiers."""
-    out = [(x, 0) for x in IDENTIFIERS]
-    for i in range(n):
-        raw = hashlib.sha512(f"random string {i}".encode()).digest()
-        size = 20 + raw[0] % 25
-        if i % 3 == 0:
-            out.append((raw.hex()[:size], 1))
-        else:
-            letters = ALPHABET[:62] if i % 3 == 1 else ALPHABET
-            out.append(("".join(letters[b % len(letters)] for b in (raw + raw[::-1])[1 : size + 1]), 1))
+def _stream(what: str):
+    """Whole numbers from a fixed stream, below what is asked for."""
+    pool, n = b"", 0
+    while True:
+        below = yield
+        if len(pool) < 4:
+            pool, n = pool + hashlib.sha512(f"{what} {n}".encode()).digest(), n + 1
+        yield int.from_bytes(pool[:4], "big") % below
+        pool = pool[4:]
+
+
+def _drawer(what: str):
+    stream = _stream(what)
+
+    def draw(below: int) -> int:
+        next(stream)
+        return stream.send(below)
+
+    return draw
+
+
+def labelled(n: int = 3000) -> list[tuple[str, str | None]]:
+    """The training sample: n random strings of each family, and 4 n identifiers (None)."""
+    out, draw = [], _drawer("random strings")
+    for family, letters in FAMILIES.items():
+        out += [("".join(letters[draw(len(letters))] for _ in range(16 + draw(30))), family) for _ in range(n)]
+    draw = _drawer("identifiers")
+    joins = ("_", "-", "/", "", "", "_", "-")
+    for _ in range(4 * n):
+        words = [WORDS[draw(len(WORDS))] for _ in range(1 + draw(4))]
+        if draw(3) == 0:
+            words.insert(draw(len(words) + 1), str(draw((10, 100, 3000, 100_000)[draw(4)])))
+        how = draw(7)
+        if how == 3:
+            words = [w.capitalize() for w in words]
+        elif how == 4:
+            words = [words[0], *[w.capitalize() for w in words[1:]]]
+        elif how == 5:
+            words = [w.upper() for w in words]
+        elif draw(4) == 0:
+            words[0] = words[0].capitalize()
+        out.append((joins[how].join(words), None))
     return out
 
 
-def train(sample: list[tuple[str, int]], prior: float = 0.25) -> list[float]:
-    """Log ratio of each transition (row-major over ALPHABET), random against ordinary."""
-    a = len(ALPHABET)
-    seen = [[[prior] * a for _ in range(a)] for _ in range(2)]
-    at = {c: i for i, c in enumerate(ALPHABET)}
+def train(sample: list[tuple[str, str | None]]) -> dict[str, list[float]]:
+    """For each family the log ratio of each transition (row-major over codes), random against ordinary."""
+    seen: dict[str | None, list[list[float]]] = {}
+    letters = [i for i in range(CODES) if re.match(f"[{KEY}]", chr(FIRST + i))]
     for text, label in sample:
-        known = [at[c] for c in text if c in at]
+        rows = seen.setdefault(label, [[0.0] * CODES for _ in range(CODES)])
+        known = [ord(c) - FIRST for c in text]
         for i, j in zip(known, known[1:]):
-            seen[label][i][j] += 1
-    rows = [[[math.log(x / sum(row)) for x in row] for row in model] for model in seen]
-    return [y - x for one, two in zip(*rows) for x, y in zip(one, two)]
+            rows[i][j] += 1
+
+    def model(rows):
+        out = []
+        for row in rows:
+            total = sum(row)
+            share = FLOOR if total else 1.0
+            out.append([share / len(letters) + (1 - share) * (x / total if total else 0.0) for x in row])
+        return out
+
+    usual = model(seen.pop(None))
+    allowed = set(letters)
+    return {
+        label: [math.log(x / y) if i in allowed and j in allowed else 0.0 for i, (one, two) in enumerate(zip(model(rows), usual)) for j, (x, y) in enumerate(zip(one, two))]
+        for label, rows in seen.items()
+    }
 
 
-def found(text: Column, pattern: str) -> Column:
+def shortest(models: dict[str, list[float]], threshold: float) -> int:
+    """Characters of the shortest run that can reach the threshold."""
+    return 1 + max(1, math.ceil(threshold / max(max(m) for m in models.values())))
+
+
+def found(text: Column, pattern: str | Column) -> Column:
     """Array of (start, end, hit) of the non-overlapping matches, in code points."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pattern = F.lit(pattern) if isinstance(pattern, str) else pattern
+    hits = F.regexp_extract_all(text, pattern, F.lit(0))
     gaps = F.split(text, pattern, -1)
     state = "struct<at:int,out:array<struct<start:int,end:int,hit:string>>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,hit:string>>").alias("out")).cast(state)
@@ -92,24 +161,43 @@ def found(text: Column, pattern: str) -> Column:
     return F.when(F.size(hits) > 0, F.aggregate(pairs, zero, place)["out"]).otherwise(zero["out"])
 
 
-def scan(docs: DataFrame, threshold: float = THRESHOLD, model: list[float] | None = None) -> DataFrame:
-    """docs with n_assign, n_access, n_hex, n_markov, base (array) and marks (array) of spans."""
-    ratio = numbers(model or train(labelled()))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    a = docs.select("*", found(text, ASSIGN).alias("_assign"), found(text, ACCESS).alias("_access"), found(text, HEX).alias("_hex"), found(text, RUN).alias("_run"))
+#: Columns that scan() adds.
+ADDED = ("n_assign", "n_access", "n_hex", "n_markov", "base", "marks")
+
+
+def _scanned(docs: DataFrame, threshold: float, models: dict[str, list[float]] | None) -> DataFrame:
+    """Columns c0, c1, ... of docs in order, then ADDED."""
+    models = models or train(labelled())
+    own = [f"c{i}" for i in range(len(docs.columns))]
+    text = F.coalesce(F.col(own[docs.columns.index("text")]), F.lit(""))
+    # the place of each transition in the tables
+    step = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: (F.ascii(F.substring(x, i, F.lit(1))) - FIRST) * CODES + F.ascii(F.substring(x, i + 1, F.lit(1))) - FIRST)
+    evidence = lambda x, ratio: F.aggregate(x["at"], F.lit(0.0), lambda s, i: s + F.get(ratio, i))
+    most = numbers([max(x) for x in zip(*models.values())])  # no family's evidence is above this table's
+    runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[{KEY}]{{{shortest(models, threshold)},}}+"), F.lit(0)))
+    a = docs.toDF(*own).select("*", found(text, ASSIGN).alias("assign"), found(text, ACCESS).alias("access"), found(text, HEX).alias("hex"), F.transform(runs, lambda x: F.struct(x.alias("run"), step(x).alias("at"))).alias("run"))
+    a = a.withColumn("run", F.filter("run", lambda x: evidence(x, most) >= threshold))
+    a = a.withColumn("run", F.transform(F.filter("run", lambda x: F.greatest(*[evidence(x, numbers(m)) for m in models.values()]) >= threshold), lambda x: x["run"]))
+    # only the runs found are looked for again, for their places
+    again = F.concat(F.lit(rf"(?<![{KEY}])(?:\Q"), F.array_join("run", r"\E|\Q"), F.lit(rf"\E)(?![{KEY}])"))
+    a = a.withColumn("run", F.when(F.size("run") > 0, found(text, again)))
 
     def spans(col, kind):
         return F.transform(col, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end")))
 
-    secret = F.filter("_assign", lambda x: F.char_length(F.regexp_extract(x["hit"], ASSIGN, 1)) >= 6)
-    b = a.select(*docs.columns, spans(secret, "assign").alias("_a"), spans(F.col("_access"), "access").alias("_c"), spans(F.col("_hex"), "hex").alias("_h"), F.filter("_run", lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")).alias("_run"))
-    size = len(ALPHABET)
-    coded = F.transform("_run", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), F.transform(F.sequence(F.lit(1), F.char_length(x["hit"])), lambda i: F.instr(F.lit(ALPHABET), F.substring(x["hit"], i, F.lit(1))) - 1).alias("c")))
-    c = b.select(*docs.columns, "_a", "_c", "_h", F.array_sort(F.concat("_a", "_c", "_h")).alias("base"), coded.alias("_run"))
-    mean = lambda x: F.aggregate(F.zip_with(F.slice(x["c"], F.lit(1), F.size(x["c"]) - 1), F.slice(x["c"], F.lit(2), F.size(x["c"]) - 1), lambda i, j: F.get(ratio, i * size + j)), F.lit(0.0), lambda s, v: s + v) / (F.size(x["c"]) - 1)
-    free = F.filter("_run", lambda x: (mean(x) >= threshold) & ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
-    d = c.select(*docs.columns, "base", *[F.size(f"_{k}").cast("long").alias(f"n_{n}") for k, n in (("a", "assign"), ("c", "access"), ("h", "hex"))], spans(free, "markov").alias("_m"))
-    return d.select(*docs.columns, "n_assign", "n_access", "n_hex", F.size("_m").cast("long").alias("n_markov"), "base", F.array_sort(F.concat("base", "_m")).alias("marks"))
+    secret = F.filter("assign", lambda x: F.char_length(F.regexp_extract(x["hit"], ASSIGN, 1)) >= 6)
+    b = a.select(*own, "run", *[spans(c, k).alias(k) for k, c in (("assign", secret), ("access", F.col("access")), ("hex", F.col("hex")))])
+    b = b.withColumn("base", F.array_sort(F.concat("assign", "access", "hex")))
+    free = F.filter(F.coalesce("run", F.array()), lambda x: ~F.exists("base", lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"])))
+    d = b.withColumn("found", spans(free, "markov"))
+    counts = [F.size(k).cast("long").alias(f"n_{n}") for k, n in (("assign", "assign"), ("access", "access"), ("hex", "hex"), ("found", "markov"))]
+    return d.select(*own, *counts, "base", F.array_sort(F.concat("base", "found")).alias("marks"))
+
+
+def scan(docs: DataFrame, threshold: float = THRESHOLD, models: dict[str, list[float]] | None = None) -> DataFrame:
+    """docs with n_assign, n_access, n_hex, n_markov, base (array) and marks (array) of spans."""
+    out = _scanned(docs, threshold, models)
+    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns) if c not in ADDED], *ADDED)
 
 
 def joined(marks: Column) -> Column:
@@ -127,8 +215,7 @@ def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Overlapping spans are one; n_chars, where there is such a column, follows the text.
     """
-    own = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("text", F.col(f"c{docs.columns.index('text')}"))
-    a = scan(own)
+    a = _scanned(docs, THRESHOLD, None).withColumn("text", F.col(f"c{docs.columns.index('text')}"))
     state = "struct<at:int,out:array<string>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(state)
     cut = lambda s, x: F.when(x["start"] < s["at"], F.struct(F.greatest(s["at"], x["end"]).alias("at"), s["out"].alias("out"))).otherwise(F.struct(x["end"].alias("at"), F.concat(s["out"], F.array(F.substring(F.col("text"), s["at"] + 1, x["start"] - s["at"]), F.lit("[SECRET]"))).alias("out"))).cast(state)

@@ -322,6 +322,58 @@ def test_secret_models(spark):
     assert {r["doc_id"]: r["text"] for r in secrets.masked(spark, d, "").collect()}[3] == "[SECRET], [SECRET]"
 
 
+def brute_evidence(run, sample):
+    """Greatest sum of log ratios over the families, from Counters of transitions."""
+    letters = [c for c in map(chr, range(128)) if re.match(r"[A-Za-z0-9+/_-]", c)]
+    counts = defaultdict(Counter)
+    for text, label in sample:
+        counts[label].update(zip(text, text[1:]))
+    rows = {k: Counter() for k in counts}
+    for k, c in counts.items():
+        for (x, _), n in c.items():
+            rows[k][x] += n
+    chance = lambda k, x, y: secrets.FLOOR / len(letters) + (1 - secrets.FLOOR) * counts[k][x, y] / rows[k][x] if rows[k][x] else 1 / len(letters)
+    return max(sum(math.log(chance(k, x, y) / chance(None, x, y)) for x, y in zip(run, run[1:])) for k in secrets.FAMILIES)
+
+
+def test_markov_spans_against_brute_force(spark):
+    rng = random.Random(8)
+    sample = secrets.labelled(200)
+    parts = ["the", "user_name", "Kd9", "x7Qp", "q", "+", "/", "ZZ", "deadbeef", "-", "42", "Gr7"]
+    data = [(i, " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(4))) for i in range(120)]
+    got = {r["doc_id"]: r["marks"] for r in secrets.scan(spark.createDataFrame(data, "doc_id long, text string"), models=secrets.train(sample)).collect()}
+    n = 0
+    for i, text in data:
+        base = brute_spans(text)
+        want = [(m.start(), 3, m.end()) for m in re.finditer(r"[A-Za-z0-9+/_-]+", text) if not any(a < m.end() and m.start() < e for a, _, e in base) and brute_evidence(m[0], sample) >= secrets.THRESHOLD]
+        assert sorted([*base, *want]) == [tuple(x) for x in got[i]]
+        n += len(want)
+    assert n > 20
+
+
+def test_secret_models_recall_and_precision():
+    rng, models = random.Random(9), secrets.train(secrets.labelled())
+    at = lambda x, y: (ord(x) - secrets.FIRST) * secrets.CODES + ord(y) - secrets.FIRST
+    flagged = lambda run: max(sum(m[at(x, y)] for x, y in zip(run, run[1:])) for m in models.values()) >= secrets.THRESHOLD
+    for letters in secrets.FAMILIES.values():
+        for size, least in ((20, 0.88), (24, 0.95), (32, 0.98)):
+            assert np.mean([flagged("".join(rng.choice(letters) for _ in range(size))) for _ in range(300)]) >= least
+    # none of these names and words is in the training sample
+    usual = """getElementById2 http2_server_connection com/example/project/module3/Main2 IllegalArgumentException webpack4-babel-preset-env2
+        parse_iso8601_timestamp DEFAULT_MAX_RETRY_COUNT src/main/java/org/apache/spark/Dataset x86_64-unknown-linux-gnu kubernetes-dashboard-metrics
+        Donaudampfschifffahrtsgesellschaft anticonstitutionnellement otorrinolaringologo supercalifragilisticexpialidocious release-2024-10-31
+        threadPoolExecutorService BACKUP_2023_12_31 interoperability_matrix_v2 float64_to_string_fast thumbnails/2021/05/17/index""".split()
+    assert not [x for x in usual if flagged(x)]
+
+
+def test_secrets_take_any_column_names(spark):
+    names = ["doc_id", "text", "base", "marks", "_assign", "assign", "run", "found", "hex", "c0", "n_hex", "n_chars"]
+    d = spark.createDataFrame([(1, "token = abcdef123456", *["z"] * 9, 20)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names[2:-1]) + ", n_chars int")
+    assert secrets.scan(d).count() == 1
+    out = secrets.masked(spark, d, "")
+    assert out.dtypes == d.dtypes and out.first()["text"] == "[SECRET]" and out.first()["n_chars"] == 8
+
+
 # 8 Decontamination
 
 
