@@ -113,9 +113,10 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pipeline's stage: documents without any benchmark window."""
-    bad = spoiled(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select(F.col("d").alias("_d"), F.col("t").alias("_t"))
-    key = row_key()
-    return docs.join(bad, (key[0].eqNullSafe(F.col("_d"))) & (key[1] == F.col("_t")), "left_anti")
+    bad = spoiled(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("d", "t")
+    own = [f"c{i}" for i in range(len(docs.columns))]  # so that no name of the input clashes
+    keyed = docs.select("*", *row_key()).toDF(*own, "d", "t")
+    return keyed.join(bad, ["d", "t"], "left_anti").select(*own).toDF(*docs.columns)
 
 
 SQL = r"""

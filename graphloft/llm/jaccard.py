@@ -263,7 +263,9 @@ def candidates(sigs: DataFrame, spark: SparkSession) -> DataFrame:
         if t and n > 0.9 * had:
             break
         had = n
-    return _shared(left).select("sig", "mark").distinct()
+    out = _shared(left).select("sig", "mark").distinct()
+    out._graphloft_path = left._graphloft_path
+    return out
 
 
 def _one_of_equal(rows: DataFrame) -> DataFrame:
@@ -312,6 +314,7 @@ def components(links: DataFrame) -> DataFrame:
         label = new.select("v", "root")
         label._graphloft_path = new._graphloft_path
         if new.filter("moved").isEmpty():
+            drop(edges)
             return label
 
 
@@ -347,7 +350,10 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
         with tidy(spark):
             contents(texts.join(chosen, "id").select("text", "mark")).repartition(n, "mark").write.bucketBy(n, "mark").format("parquet").saveAsTable(name)
         sets = spark.table(name)
-        return _linked(stage(_one_of_equal(candidates(signatures(sets, common, top), spark)), "jac-bucket"), sets)
+        met = candidates(signatures(sets, common, top), spark)
+        bucket = stage(_one_of_equal(met), "jac-bucket")
+        drop(met)
+        return _linked(bucket, sets)
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
@@ -452,7 +458,9 @@ def _linked(bucket: DataFrame, sets: DataFrame) -> DataFrame | None:
             rooted = rooted.join(label.withColumnRenamed("v", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
         else:
             rooted = rooted.withColumn("root", F.col("mark"))
-        open_ = stage(_mixed(rooted).select("sig", "mark", "w", "root"), "jac-open")
+        new = stage(_mixed(rooted).select("sig", "mark", "w", "root"), "jac-open")
+        drop(open_ if t else bucket)
+        open_ = new
         if open_.isEmpty():
             return label
     open_ = _supported(open_, sets)

@@ -80,7 +80,7 @@ def _fold(level: int, last: bool) -> str:
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, fan: int = FAN) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken) of each row of docs."""
     sizes = stage(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("long").alias("size")), "mix-size")
-    twin = Window.partitionBy("doc_id").orderBy("size", "source")
+    twin = Window.partitionBy("doc_id", "size", "source").orderBy(F.lit(0))
     goals = targets(sizes, weights, share, most)
     goals = stage(goals, "mix-goal")
     n, largest = goals.agg(F.count(F.lit(1)), F.max("n_docs")).first()
@@ -100,8 +100,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         last = groups == 1
         # as many groups as the source's own rows need at this level
         own = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / float(fan) ** (level + 1))).cast("int")
-        key = F.pmod(F.xxhash64(F.lit(level), "doc_id", "nth"), own)
-        item = F.struct((-F.col("size")).alias("big"), F.xxhash64(F.lit(SEED), "doc_id", "nth").alias("h"), "doc_id", "nth", "size", "mass")
+        key = F.pmod(F.xxhash64(F.lit(level), "doc_id", "nth", "size"), own)
+        item = F.struct((-F.col("size")).alias("big"), F.xxhash64(F.lit(SEED), "doc_id", "nth", "size").alias("h"), "doc_id", "nth", "size", "mass")
         met = left.groupBy(*facts, key.alias("key")).agg(F.sort_array(F.collect_list(item)).alias("xs"))
         met = met.withColumn("xs", F.expr("transform(xs, x -> named_struct('doc_id', x.doc_id, 'nth', x.nth, 'size', x.size, 'mass', x.mass))"))
         met = met.select(*facts, F.expr(_fold(level, last)).alias("r")).select(*facts, F.explode(F.expr("concat(transform(r.out, o -> named_struct('o', o, 'open', false)), CASE WHEN r.cur IS NULL THEN array() ELSE array(named_struct('o', r.cur, 'open', true)) END)")).alias("e"))

@@ -66,3 +66,12 @@ def test_stages_take_empty_tables_and_odd_rows(spark, folder, docs, empty, i):
     assert out.count() <= 11
     if i < 4:
         assert out.columns == docs.columns
+
+
+def test_stages_take_any_column_names(spark, folder):
+    names = ["doc_id", "text", "source", "_d", "_t", "d", "t", "_id", "_twice", "_lines", "_h", "_assign", "base", "ws", "c0", "marks", "n_words", "size", "root"]
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.selectExpr("*", *[f"'z' AS `{c}`" for c in names[3:]])
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, folder)
+        assert not out.isEmpty() and (out.columns == names or name == corpus_pipeline.STAGES[-1][0])
