@@ -74,7 +74,8 @@ def fit(docs: DataFrame, labels: DataFrame, few: int = FEW) -> list[float]:
     n, m = sum(raw) + PRIOR * BUCKETS, sum(aim) + PRIOR * BUCKETS
     # An n-gram that the target lacks says less when the target is small: both get the same prior, scaled to their size.
     rate = m / n
-    return [math.log((a + PRIOR) / m) - math.log((r * 1.0 + PRIOR / rate) / (n + (PRIOR / rate - PRIOR) * BUCKETS)) for r, a in zip(raw, aim)]
+    # to four decimals: the table is part of the query's plan
+    return [round(math.log((a + PRIOR) / m) - math.log((r * 1.0 + PRIOR / rate) / (n + (PRIOR / rate - PRIOR) * BUCKETS)), 4) for r, a in zip(raw, aim)]
 
 
 #: Columns that judge() adds; columns of the input that have these names are left out.

@@ -41,8 +41,6 @@ KEY = "A-Za-z0-9+/_-"
 THRESHOLD = 20.0
 #: Share of each model's row that is dealt evenly, so that no transition is impossible.
 FLOOR = 0.1
-#: Codes of characters: places from the first key character to the last.
-FIRST, CODES = ord("+"), ord("z") - ord("+") + 1
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Families of random strings, by their letters.
 FAMILIES = {
@@ -50,9 +48,10 @@ FAMILIES = {
     "upper hex": DIGITS + "ABCDEF",
     "base32": UPPER + "234567",
     "base62": LOWER + UPPER + DIGITS,
-    "base64": LOWER + UPPER + DIGITS + "+/",
-    "base64url": LOWER + UPPER + DIGITS + "-_",
+    "base64": LOWER + UPPER + DIGITS + "+/-_",
 }
+#: Characters by their codes; a table has a row and a column for each.
+ALPHABET = LOWER + UPPER + DIGITS + "+/-_"
 #: Words that ordinary identifiers and texts are made of.
 WORDS = """
 user name count index value list map file path line column order customer number region price total amount address
@@ -114,12 +113,15 @@ def labelled(n: int = 3000) -> list[tuple[str, str | None]]:
 
 
 def train(sample: list[tuple[str, str | None]]) -> dict[str, list[float]]:
-    """For each family the log ratio of each transition (row-major over codes), random against ordinary."""
+    """For each family the log ratio of each transition (row-major over codes), random against ordinary.
+
+    Ratios are kept to two decimals: the tables are part of the query's plan.
+    """
+    codes = len(ALPHABET)
     seen: dict[str | None, list[list[float]]] = {}
-    letters = [i for i in range(CODES) if re.match(f"[{KEY}]", chr(FIRST + i))]
     for text, label in sample:
-        rows = seen.setdefault(label, [[0.0] * CODES for _ in range(CODES)])
-        known = [ord(c) - FIRST for c in text]
+        rows = seen.setdefault(label, [[0.0] * codes for _ in range(codes)])
+        known = [ALPHABET.index(c) for c in text]
         for i, j in zip(known, known[1:]):
             rows[i][j] += 1
 
@@ -128,15 +130,11 @@ def train(sample: list[tuple[str, str | None]]) -> dict[str, list[float]]:
         for row in rows:
             total = sum(row)
             share = FLOOR if total else 1.0
-            out.append([share / len(letters) + (1 - share) * (x / total if total else 0.0) for x in row])
+            out += [share / codes + (1 - share) * (x / total if total else 0.0) for x in row]
         return out
 
     usual = model(seen.pop(None))
-    allowed = set(letters)
-    return {
-        label: [math.log(x / y) if i in allowed and j in allowed else 0.0 for i, (one, two) in enumerate(zip(model(rows), usual)) for j, (x, y) in enumerate(zip(one, two))]
-        for label, rows in seen.items()
-    }
+    return {label: [round(math.log(x / y), 2) for x, y in zip(model(rows), usual)] for label, rows in seen.items()}
 
 
 def shortest(models: dict[str, list[float]], threshold: float) -> int:
@@ -171,7 +169,8 @@ def _scanned(docs: DataFrame, threshold: float, models: dict[str, list[float]] |
     own = [f"c{i}" for i in range(len(docs.columns))]
     text = F.coalesce(F.col(own[docs.columns.index("text")]), F.lit(""))
     # the place of each transition in the tables
-    step = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: (F.ascii(F.substring(x, i, F.lit(1))) - FIRST) * CODES + F.ascii(F.substring(x, i + 1, F.lit(1))) - FIRST)
+    code = lambda x, i: F.instr(F.lit(ALPHABET), F.substring(x, i, F.lit(1)))
+    step = lambda x: F.transform(F.sequence(F.lit(1), F.char_length(x) - 1), lambda i: (code(x, i) - 1) * len(ALPHABET) + code(x, i + 1) - 1)
     evidence = lambda x, ratio: F.aggregate(x["at"], F.lit(0.0), lambda s, i: s + F.get(ratio, i))
     most = numbers([max(x) for x in zip(*models.values())])  # no family's evidence is above this table's
     runs = F.array_distinct(F.regexp_extract_all(text, F.lit(rf"[{KEY}]{{{shortest(models, threshold)},}}+"), F.lit(0)))

@@ -131,7 +131,7 @@ def brute_scores(docs, good):
         return {i: 0.0 for i, _ in docs}
     n, m = sum(raw.values()) + prior * size, sum(aim.values()) + prior * size
     wide = prior * n / m
-    ratio = lambda g: math.log((aim[g] + prior) / m) - math.log((raw[g] + wide) / (n + (wide - prior) * size))
+    ratio = lambda g: round(math.log((aim[g] + prior) / m) - math.log((raw[g] + wide) / (n + (wide - prior) * size)), 4)
     return {i: sum(map(ratio, grams(x))) / max(1, len(grams(x))) for i, x in docs}
 
 
@@ -333,7 +333,7 @@ def brute_evidence(run, sample):
         for (x, _), n in c.items():
             rows[k][x] += n
     chance = lambda k, x, y: secrets.FLOOR / len(letters) + (1 - secrets.FLOOR) * counts[k][x, y] / rows[k][x] if rows[k][x] else 1 / len(letters)
-    return max(sum(math.log(chance(k, x, y) / chance(None, x, y)) for x, y in zip(run, run[1:])) for k in secrets.FAMILIES)
+    return max(sum(round(math.log(chance(k, x, y) / chance(None, x, y)), 2) for x, y in zip(run, run[1:])) for k in secrets.FAMILIES)
 
 
 def test_markov_spans_against_brute_force(spark):
@@ -353,7 +353,7 @@ def test_markov_spans_against_brute_force(spark):
 
 def test_secret_models_recall_and_precision():
     rng, models = random.Random(9), secrets.train(secrets.labelled())
-    at = lambda x, y: (ord(x) - secrets.FIRST) * secrets.CODES + ord(y) - secrets.FIRST
+    at = lambda x, y: secrets.ALPHABET.index(x) * len(secrets.ALPHABET) + secrets.ALPHABET.index(y)
     flagged = lambda run: max(sum(m[at(x, y)] for x, y in zip(run, run[1:])) for m in models.values()) >= secrets.THRESHOLD
     for letters in secrets.FAMILIES.values():
         for size, least in ((20, 0.88), (24, 0.95), (32, 0.98)):
