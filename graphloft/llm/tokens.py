@@ -10,14 +10,17 @@ count is stored; a document's count is the sum over its words.
 
 Nothing is shuffled: a task reads texts in batches and keeps counts of up to ``KNOWN``
 pre-tokens. The vocabulary (``path``, read by the driver) has a fixed size and is sent to
-every task.
+every task. Its pieces' scores are log probabilities by rank.
 
-Defined cases: a null or blank text has no words and 0 tokens; bytes between words are the
+Defined cases: a null or blank text has no words and 0 tokens; a byte that is not UTF-8
+counts as the replacement character; bytes between words are the
 ASCII spaces; rows are counted one by one, whatever their ids; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +36,23 @@ MARK = "▁"
 KNOWN = 400_000
 #: Added to the least score for each byte of an unknown character.
 UNKNOWN = -10.0
+#: Shift of the rank-frequency law (Mandelbrot's form of Zipf's) that gives pieces their probabilities.
+SHIFT = 2.7
 
 
 def pieces(path: str = VOCABULARY) -> dict[str, float]:
-    """The vocabulary's ordinary pieces with their scores."""
+    """The vocabulary's ordinary pieces with their unigram scores: log probabilities that sum to 1.
+
+    The file orders pieces but holds no probabilities, and a tokenizer is not trained here:
+    the piece of rank r has a probability in proportion to ``1 / (r + SHIFT)``.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     usual = lambda i: not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))
-    return {model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size()) if usual(i)}
+    ranked = sorted((-model.get_score(i), model.id_to_piece(i)) for i in range(model.get_piece_size()) if usual(i))
+    whole = math.log(sum(1 / (r + SHIFT) for r in range(1, len(ranked) + 1)))
+    return {piece: -math.log(r + SHIFT) - whole for r, (_, piece) in enumerate(ranked, 1)}
 
 
 def count(pre_tokens: list[str], vocabulary: dict[str, float]) -> dict[str, int]:
@@ -92,9 +103,9 @@ def token_counts(docs: DataFrame, vocabulary: dict[str, float]) -> DataFrame:
                 if len(known) + len(new) > KNOWN:
                     known = {}
                 new -= known.keys()
-                named = {MARK + w.decode("utf-8", "replace"): w for w in new}
-                for word, n in count(list(named), sent.value).items():
-                    known[named[word]] = n
+                named = {w: MARK + w.decode("utf-8", "replace") for w in new}  # several may read alike
+                counts = count(list(set(named.values())), sent.value)
+                known.update((w, counts[x]) for w, x in named.items())
                 n_words += map(len, rows)
                 n_tokens += [sum(map(known.__getitem__, words)) for words in rows]
             yield pa.RecordBatch.from_arrays([ids, pa.array(n_words, pa.int64()), pa.array(n_tokens, pa.int64())], ["doc_id", "n_words", "n_tokens"])
