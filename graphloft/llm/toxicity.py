@@ -11,12 +11,13 @@ Thresholds are calibrated by language afterwards, on rows that the weights were
 to; a score itself sees nothing but the text.
 
 Training takes at most ``SAMPLE`` labelled documents of each label, the first by a hash of
-their id, of up to ``TRAIN_BYTES`` bytes each: what reaches the driver is bounded by
-these. Scoring streams whole texts in blocks.
+their id among the texts of up to ``TRAIN_BYTES`` bytes: what reaches the driver is
+bounded by these. Scoring streams whole texts in blocks.
 
 Defined cases: a null or empty text is padding alone and gets the score of that; without
 labels of both kinds every score is 0; labels of one document that differ count as toxic;
-repeated rows are scored alike; a null id is not held out; other columns are ignored.
+of rows with one id the least text is trained on; repeated rows are scored alike; a null id
+is not held out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -45,6 +46,8 @@ PREDICT = 0.3
 _BREAK = np.ones(256, bool)
 _BREAK[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 PAD = max(WIDTHS) - 1
+#: Places of a text that are scored at once.
+TILE = 1 << 16
 
 
 def tokens(texts: pa.Array):
@@ -92,15 +95,23 @@ class Network:
         return all_
 
     def score(self, ids, starts) -> np.ndarray:
-        best = np.concatenate([np.maximum.reduceat(self._own(y, ids, w), starts, axis=0) for w, y in zip(WIDTHS, self.responses(ids))], 1)
+        """Of each text; responses are made for TILE places at a time, so that memory does not follow a text's length."""
+        best = np.full((len(starts), len(WIDTHS) * FILTERS), -1e9, np.float32)
+        for lo in range(0, len(ids), TILE):
+            hi = min(lo + TILE, len(ids))
+            part = ids[lo : hi + PAD]
+            first = int(np.searchsorted(starts, lo, "right")) - 1
+            last = int(np.searchsorted(starts, hi, "left"))
+            cut = np.maximum(starts[first:last], lo) - lo
+            for k, y in enumerate(self.responses(part)):
+                y = y[: hi - lo]
+                if len(y) < hi - lo:  # places at the very end see padding only
+                    y = np.concatenate([y, np.full((hi - lo - len(y), FILTERS), -1e9, y.dtype)])
+                own = best[first:last, k * FILTERS : (k + 1) * FILTERS]
+                np.maximum(own, np.maximum.reduceat(y, cut, axis=0), out=own)
         z = np.maximum(best, 0) @ self.out + self.off[0]
         return 1 / (1 + np.exp(-z.astype(np.float64)))
 
-    @staticmethod
-    def _own(y, ids, w):
-        """Padded to one row per place; places at a text's very end see padding only."""
-        return np.concatenate([y, np.full((len(ids) - len(y), y.shape[1]), -1e9, y.dtype)]) if len(y) < len(ids) else y
-
 
 def fit(texts: list[str], labels: np.ndarray, share: float = 1.0, seed: int = 7) -> Network:
     net, rng = Network(seed), np.random.default_rng(seed)
@@ -163,11 +174,13 @@ def held_out(doc_id):
 def sample(docs: DataFrame, labels: DataFrame, limit: int = SAMPLE) -> list:
     """Rows (doc_id, text, lang, toxic): at most `limit` of label 1 and CALM times as many of label 0, none of them held out."""
     known = labels.filter("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).filter(~held_out(F.col("doc_id")))
+    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
+    short = docs.filter(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text", lang.alias("lang"))
+    known = known.join(short.select("doc_id"), "doc_id", "left_semi")  # chosen among those that can be taken
     pick = lambda t: known.filter(F.col("toxic") == t).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit if t else CALM * limit)
     ids = F.broadcast(pick(1).unionByName(pick(0)))  # (1 + CALM) * limit rows at most
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    chosen = docs.filter(F.octet_length("text") <= TRAIN_BYTES).select("doc_id", "text", lang.alias("lang")).join(ids, "doc_id").dropDuplicates(["doc_id"])
-    return sorted(chosen.collect(), key=lambda r: r["doc_id"])
+    one = short.join(ids, "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("x"))  # of rows with one id, the least
+    return sorted(one.select("doc_id", "x.text", "x.lang", "toxic").collect(), key=lambda r: r["doc_id"])
 
 
 def train(rows: list) -> tuple[Network | None, dict[str, float]]:

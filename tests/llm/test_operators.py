@@ -3,6 +3,7 @@ import math
 import random
 import re
 import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -237,6 +238,37 @@ def test_toxicity_cases(docs, empty):
     assert toxicity.train([]) == (None, {}) and not toxicity.score_texts(None, ["a"]).any()
 
 
+def test_toxicity_scores_do_not_depend_on_tiles(monkeypatch):
+    net, rng = toxicity.Network(3), np.random.default_rng(3)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (0, 1, 5, 63, 64, 65, 700, 2)]
+    whole = toxicity.score_texts(net, texts)
+    for tile in (1, 7, 64):
+        monkeypatch.setattr(toxicity, "TILE", tile)
+        assert np.allclose(toxicity.score_texts(net, texts), whole, atol=1e-6)
+
+
+def test_toxicity_sample_is_bounded_repeatable_and_not_held_out(spark):
+    data = [(i, f"text {i}", "en") for i in range(200)] + [(i, f"another {i}", "de") for i in range(50)] + [(300, "x" * (toxicity.TRAIN_BYTES + 1), "en"), (None, "no id", "en")]
+    labels = spark.createDataFrame([(i, i % 2) for i in [*range(200), 300, 7]] + [(None, 1), (8, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    got = toxicity.sample(docs, labels, limit=20)
+    assert got == toxicity.sample(docs.repartition(5), labels.repartition(3), limit=20)
+    assert [r["toxic"] for r in got].count(1) == 20 and [r["toxic"] for r in got].count(0) == 40
+    assert all(zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and r["doc_id"] != 300 for r in got)
+    assert all(r["text"].startswith("another") for r in got if r["doc_id"] < 50) and all(r["toxic"] == 1 for r in got if r["doc_id"] == 8)
+
+
+def test_toxicity_query_learns_on_rows_that_are_not_held_out(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    texts = [" ".join([*rng.choice([f"wort{k}" for k in range(150)], 30), *(["vile", "nasty"] if i % 4 == 0 else [])]) for i in range(400)]
+    spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)] + [(500, None, None)], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(400)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.op4(spark, str(tmp_path)).collect()}
+    assert len(got) == 401 and all(r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) for i, r in got.items())
+    asked = [(r["predicted"], int(i % 4 == 0)) for i, r in got.items() if r["held_out"] and i < 400]
+    assert sum(a == b for a, b in asked) >= 0.95 * len(asked) and all(r["predicted"] == (r["score"] >= 0.3) for r in got.values())
+
+
 # 5 WARC
 
 
@@ -291,6 +323,19 @@ def test_tokens_against_brute_force(docs, empty):
     assert tokens.token_counts(empty, voc).isEmpty()
 
 
+def test_pieces_have_unigram_scores():
+    voc = tokens.pieces()
+    assert sum(math.exp(x) for x in voc.values()) == pytest.approx(1) and len(voc) > 30_000
+    assert tokens.count(["▁the", "▁international"], voc)["▁the"] == 1
+
+
+def test_words_that_read_alike_once_decoded(spark):
+    voc = {"▁": -3.0, "a": -4.0, "\ufffd": -5.0}
+    docs = spark.sql("SELECT 1L AS doc_id, CAST(X'FFFE61' AS STRING) || ' ' || CAST(X'FDFE61' AS STRING) AS text")
+    r = tokens.token_counts(docs, voc).first()
+    assert (r["n_words"], r["n_tokens"]) == (2, 2 * brute_tokens("▁\ufffd\ufffda", voc))
+
+
 # 7 Secrets
 
 
@@ -521,6 +566,57 @@ def test_language(spark, empty):
     assert {r["lang"] for r in language.identify(spark.createDataFrame(data, "page_id long, url string, html string"), {}).collect()} == {"und"}
 
 
+def brute_language(pages, model):
+    """Best language of each page by the sum of the four kinds of evidence, with plain loops."""
+    langs, size = sorted(model), language.BUCKETS
+    rows = {}
+    for i, url, html in pages:
+        text = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html or "")
+        ws = [w for w in re.split(r"[\x00-\x60\x7B-\x7F]+", re.sub(r"&#?[A-Za-z0-9]+;", " ", text).translate({c: c + 32 for c in range(65, 91)})) if w]
+        lik = [language.TEMPER * sum(model[x][signed(spark_hash(w)) % size] for w in ws) for x in langs]
+        u = (url or "").lower()
+        host = (re.match(r"[a-z][a-z0-9+.-]*://([^/:?#]*)", u) or [0, ""])[1]
+        said = (re.search(r"""(?i)<html[^>]*?\blang\s*=\s*["']?([A-Za-z]{2,3})""", html or "") or [0, ""])[1][:2].lower()
+        part, end = re.match(r"[a-z][a-z0-9+.-]*://[^/?#]*/([a-z]{2})(?:/|$)", u), re.search(r"\.([a-z]{2})$", host)
+        known = lambda m: m[1] if m and m[1] in langs else ""
+        rows[i] = (lik, lik.index(max(lik)) if min(lik) < max(lik) else None, said if said in langs else "", known(part) or known(end), host, (re.search(r"([^.]*\.[^.]*)$", host) or [0, ""])[1])
+
+    def votes(key, value):
+        return [sum(1 for r in rows.values() if key(r) == value and r[1] == k) for k in range(len(langs))]
+
+    def mixed(v, up):
+        return [(x + language.STRENGTH * y) / (sum(v) + language.STRENGTH) for x, y in zip(v, up)]
+
+    every = votes(lambda r: 0, 0)
+    base = [(x + 1) / (sum(every) + len(langs)) for x in every]
+    out = {}
+    for i, (lik, _, said, address, host, domain) in rows.items():
+        prior = mixed(votes(lambda r: r[4], host), mixed(votes(lambda r: r[5], domain), base))
+        post = [a + math.log(p) for a, p in zip(lik, prior)]
+        for at, value in ((2, said), (3, address)):
+            v, sums = votes(lambda r: r[at], value), every
+            post = [p + math.log((x + language.PRIOR) / (s + language.PRIOR * (len(langs) + 1))) for p, x, s in zip(post, v, sums)]
+        out[i] = (langs[post.index(max(post))], 1 / sum(math.exp(p - max(post)) for p in post))
+    return out
+
+
+def test_language_against_brute_force(spark):
+    rng = random.Random(6)
+    voc = {"en": "the house and garden with trees", "fr": "la maison et le jardin avec arbres", "de": "das haus und der garten mit la le"}
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(voc[x].split(), k=8)), x) for i, x in enumerate(["en", "fr", "de"] * 12)], "doc_id long, text string, lang string")
+    model = language.fit(docs)
+    hosts = ["a.fr", "www.a.fr", "b.com", "x.b.com", "c.de", ""]
+    pages = []
+    for i in range(60):
+        text = " ".join(rng.choices(" ".join(voc.values()).split(), k=rng.randrange(7)))
+        pages.append((i, rng.choice([f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/de/x', '/fr', '/enx/'])}", None]), rng.choice([f"<html lang='{rng.choice(['en', 'fr-CA', 'xx', 'de'])}'><p>{text}</p></html>", f"<p>{text}&nbsp;</p><!-- das haus -->", None])))
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: language.F.lit("z") for c in ("host", "lang", "guess", "prior", "b")})
+    got = {r["page_id"]: (r["lang"], r["confidence"]) for r in language.identify(frame, model).collect()}
+    want = brute_language(pages, model)
+    assert {i: c for i, (_, c) in got.items()} == {i: pytest.approx(c, rel=1e-6) for i, (_, c) in want.items()}
+    assert all(got[i][0] == x for i, (x, c) in want.items() if c > 0.51)
+
+
 # Bytes
 
 
