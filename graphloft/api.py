@@ -44,13 +44,16 @@ class Engine:
         return query.run(self.g, text, self.visible)
 
     def ask(self, question: str) -> DataFrame:
-        """A question in plain words, grounded in the table's symbols that its words occur in."""
-        words = sorted({w.lower() for w in question.replace("`", " ").replace("?", " ").split() if len(w) > 1})
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.lower("symbol").contains(w)
-        names = [r["symbol"] for r in self.nodes.filter(hit).select("symbol").distinct().orderBy("symbol").limit(10_000).collect()]
-        return self.query(router.expression(question, names))
+        """A question in plain words, grounded in all symbols of the graph.
+
+        For each word of the question one aggregation tells the symbol that equals it and the
+        first and last of those that hold it: what grounding asks of the whole table.
+        """
+        s, words = F.col("symbol"), sorted({w.lower() for w in router.candidates(question) if w})
+        exact = [F.min(F.when(F.lower(s) == w, s)) for w in words]
+        part = [f(F.when(F.contains(F.lower(s), F.lit(w)), s)) for w in words for f in (F.min, F.max)]
+        found = self.nodes.agg(*[c.alias(f"c{i}") for i, c in enumerate([*exact, *part])]).first() if words else ()
+        return self.query(router.expression(question, sorted({x for x in found if x is not None})))
 
     def repo_map(self, limit: int = 50, budget: int | None = None) -> DataFrame:
         top = aggregate.hub_files(*self.view(), limit)
@@ -107,11 +110,13 @@ class Engine:
         fused = search.rrf(lexical.unionByName(near), limit).join(seen, "id")
         return fused.select("rank", "id", "symbol", "path", filters.direct_match(F.col("symbol"), F.col("path"), text).alias("direct")).withColumn("rank", F.row_number().over(Window.partitionBy().orderBy("rank")))
 
-    def find_all(self, text: str, path: str | None = None, kind: str | None = None) -> DataFrame:
-        """Every hit; filters see masked rows as they are shown."""
+    def find_all(self, text: str, path: str | None = None, kind: str | None = None, lang: str | None = None) -> DataFrame:
+        """Every hit; filters see masked rows as they are shown. Languages are those of filters.FIND_ALL."""
         rows = search.lexical_rows(self.g.nodes)
-        hits = search.find_all(search.postings(rows), self.nodes, text)
-        return hits.filter(filters.NodeFilter(path=path, kind=kind).condition()).orderBy("path", "line_start")
+        hits = search.find_all(search.postings(rows), self.nodes, text).filter(filters.NodeFilter(path=path, kind=kind).condition())
+        if lang is not None:
+            hits = hits.filter(filters.has_language(F.col("path"), lang))
+        return hits.orderBy("path", "line_start")
 
     def modules(self) -> DataFrame:
         return analytics.file_modules(*self.view())

@@ -91,6 +91,12 @@ def literal_search(nodes: DataFrame, text: str) -> DataFrame:
     return nodes.filter(hit)
 
 
+def has_language(path: Column, lang: str) -> Column:
+    """Whether find-all counts a file to a language; other languages have no files."""
+    ends = [e for e, name in FIND_ALL.items() if name == lang.lower()]
+    return F.regexp_extract(path, r"\.([^./]*)$", 1).isin(*ends) if ends else F.lit(False)
+
+
 def direct_match(symbol: Column, path: Column, text: str) -> Column:
     return F.contains(F.lower(symbol), F.lit(text.lower())) | F.contains(F.lower(path), F.lit(text.lower()))
 

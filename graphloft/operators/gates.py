@@ -11,6 +11,7 @@ from graphloft.functions.languages import contract_short_name, is_public, langua
 from graphloft.functions.text import canonical_line, short_name
 from graphloft.operators.aggregate import contract_hash, orphan_files
 from graphloft.operators.filters import Identity, any_glob, glob_matches, in_module
+from graphloft.operators.mutation import upsert
 
 # Verdicts with their exit codes, severities and risks in order.
 EXIT = {"pass": 0, "fail": 1, "incomplete": 2}
@@ -108,7 +109,7 @@ def phantom_symbols(unresolved: DataFrame, paths: DataFrame | None = None, exemp
 def encapsulation(nodes: DataFrame, edges: DataFrame, modules: DataFrame) -> DataFrame:
     """(module, source, target): edges from outside a module (prefix) to a symbol in it that is not public."""
     public = is_public(language(F.col("path")), F.col("signature"), F.col("symbol"), unknown=True)
-    t = nodes.filter(~public).select(F.col("id").alias("dst"), F.col("path").alias("b"), F.col("symbol").alias("target")).join(F.broadcast(modules.select("prefix")), in_module(F.col("b"), F.col("prefix")))
+    t = nodes.filter(~public).select(F.col("id").alias("dst"), F.col("path").alias("b"), F.col("symbol").alias("target")).join(modules.select("prefix"), in_module(F.col("b"), F.col("prefix")))
     s = nodes.select(F.col("id").alias("src"), F.col("path").alias("a"), F.col("symbol").alias("source"))
     return edges.select("src", "dst").distinct().join(t, "dst").join(s, "src").filter(~in_module(F.col("a"), F.col("prefix"))).select(F.col("prefix").alias("module"), "source", "target")
 
@@ -133,6 +134,19 @@ def contract_diff(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "symbol", "full_outer").withColumn("change", change).filter("change IS NOT NULL").select("symbol", "change", "before", "after")
 
 
+CONTRACT_KEY = ("service_a", "service_b", "protocol", "symbol")
+
+
+def put_contracts(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Contracts once each pair of services in `new` has that record and nothing older."""
+    return upsert(old, new, CONTRACT_KEY[:3])
+
+
+def contract_between(contracts: DataFrame, a: str, b: str) -> DataFrame:
+    """The entries recorded between two services, by symbol."""
+    return contracts.filter((F.col("service_a") == a) & (F.col("service_b") == b)).orderBy("protocol", "symbol")
+
+
 def scoped(diff: DataFrame, imported: DataFrame) -> DataFrame:
     """diff with in_scope: whether the consumer uses the symbol (added ones concern nobody yet)."""
     used = imported.select("symbol").distinct().withColumn("_u", F.lit(True))
@@ -229,11 +243,3 @@ def review(nodes: DataFrame, edges: DataFrame, unresolved: DataFrame, changed: D
 def stale_references(expected: DataFrame, actual: DataFrame, imported: DataFrame) -> DataFrame:
     """Imported symbols that the provider removed or changed."""
     return scoped(contract_diff(expected, actual), imported).filter("in_scope").select("symbol", "change")
-
-
-def guarded_paths(paths: DataFrame, glob: str) -> DataFrame:
-    return paths.filter(glob_matches(F.col("path"), glob))
-
-
-def names_of(nodes: DataFrame) -> DataFrame:
-    return nodes.select(short_name(F.col("symbol")).alias("name")).distinct()

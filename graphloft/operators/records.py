@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloft.functions.text import code_ref, dir_of, moniker, short_name, stem_of
+from graphloft.operators.mutation import upsert
 from graphloft.operators.traverse import reachable_within
 
 # Note tiers, and how long an ephemeral note lasts.
@@ -17,6 +18,50 @@ def tier(text: Column) -> Column:
     return F.when(text == EPHEMERAL, EPHEMERAL).otherwise(CRYSTALLIZED)
 
 
+def pin(notes: DataFrame, pins: DataFrame, nodes: DataFrame, now: int) -> DataFrame:
+    """notes with new ones pinned to symbols; pins: (path, symbol, kind, tier, author, content, content_hash).
+
+    A note gets its symbol's id and moniker; an ephemeral one lasts TTL_SECONDS. Ids go on
+    from the greatest, in order of moniker and content. A pin to no symbol is left out.
+    """
+    at = nodes.groupBy("path", "symbol").agg(F.min("id").alias("target_node_id"))
+    a = pins.join(at, ["path", "symbol"]).withColumns({"moniker": moniker(F.col("path"), F.col("symbol")), "tier": tier(F.col("tier"))})
+    top = notes.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    nth = F.row_number().over(Window.partitionBy().orderBy("moniker", "content"))
+    lasts = F.when(F.col("tier") == EPHEMERAL, F.lit(now + TTL_SECONDS).cast("long"))
+    a = a.withColumns({"nth": nth, "stale": F.lit(False), "expires_at": lasts, "created_at": F.lit(now).cast("long")}).join(top)
+    return notes.unionByName(a.withColumn("id", F.col("top") + F.col("nth")).select(*notes.columns))
+
+
+def put_spans(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Spans with new ones in place of those with the same trace and span ids."""
+    return upsert(old, new, ("trace_id", "span_id"))
+
+
+def spans_of(spans: DataFrame, symbol: str) -> DataFrame:
+    """A symbol's spans, oldest first."""
+    return spans.filter(F.col("symbol") == symbol).orderBy("start_us", "span_id")
+
+
+def put_doc_links(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Documentation links with new ones in place of those between the same ends."""
+    return upsert(old, new, ("doc_id", "section", "target_node_id", "kind"))
+
+
+def signed_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(doc, target, section, kind, provenance...) of links that carry a signature, with their symbols' names."""
+    names = nodes.select("id", "symbol")
+    a = links.filter("provenance_signature IS NOT NULL").join(names.toDF("doc_id", "doc"), "doc_id", "left").join(names.toDF("target_node_id", "target"), "target_node_id", "left")
+    return a.select("doc", "target", "section", "kind", "provenance_commit", "provenance_hash", "provenance_signature")
+
+
+def append_review(reviews: DataFrame, new: DataFrame) -> DataFrame:
+    """History with new reviews (without id) after the last one, in order of time."""
+    top = reviews.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    nth = F.row_number().over(Window.partitionBy().orderBy("created_at", "base", "head"))
+    return reviews.unionByName(new.withColumn("nth", nth).join(top).withColumn("id", F.col("top") + F.col("nth")).select(*reviews.columns))
+
+
 def recall(notes: DataFrame, now) -> DataFrame:
     """Notes still valid: crystallized, or expiring after now."""
     return notes.filter((F.col("tier") == CRYSTALLIZED) | (F.col("expires_at") > now))

@@ -50,7 +50,8 @@ def _local(spark: SparkSession, edges: DataFrame, seeds: list[int], hops: int |
     ids, code = np.unique(np.concatenate([got["src"].to_numpy(np.int64), got["dst"].to_numpy(np.int64), np.array(seeds, np.int64)]), return_inverse=True)
     n = len(got)
     kinds, kind = np.unique(got["kind"].fillna("").to_numpy(str), return_inverse=True) if n else (np.array([""]), np.zeros(0, int))
-    order = np.lexsort((kind, code[n : 2 * n], code[:n]))
+    hows, rank = np.unique(got["resolution_kind"].fillna("").to_numpy(str), return_inverse=True) if n else (None, np.zeros(0, int))
+    order = np.lexsort((rank, kind, code[n : 2 * n], code[:n]))
     src, dst = code[:n][order], code[n : 2 * n][order]
     first = np.searchsorted(src, np.arange(len(ids) + 1))
     level, via = np.full(len(ids), -1, np.int64), np.full(len(ids), -1, np.int64)
@@ -60,7 +61,7 @@ def _local(spark: SparkSession, edges: DataFrame, seeds: list[int], hops: int |
         size = first[front + 1] - first[front]
         at = np.repeat(first[front] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())
         at = at[level[dst[at]] < 0]
-        front, lead = np.unique(dst[at], return_index=True)  # `at` is in (source, kind) order: the least edge leads
+        front, lead = np.unique(dst[at], return_index=True)  # `at` is in (source, kind, resolution) order: the least edge leads
         depth += 1
         level[front], via[front] = depth, at[lead]
     hit = np.flatnonzero(level >= 0)
@@ -108,6 +109,14 @@ def callers_within(edges: DataFrame, seeds: DataFrame, hops: int | None = None)
     return search(reverse(_typed(edges)), seeds, hops)
 
 
+def in_common(*reaches: DataFrame) -> DataFrame:
+    """(id) that all of several reach sets (id) hold."""
+    out = reaches[0].select("id").distinct()
+    for r in reaches[1:]:
+        out = out.join(r.select("id"), "id", "left_semi")
+    return out
+
+
 def shortest_path(edges: DataFrame, source: int, target: int) -> DataFrame:
     """(pos, id) along one shortest path, ends included; empty if there is none. Ties go to the least predecessor."""
     spark = edges.sparkSession

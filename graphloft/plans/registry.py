@@ -479,7 +479,7 @@ def phantom_refs(spark, sf):
     return GT.phantom_symbols(RS.unresolved(refs, defs), exempt=("d/Brand#11",))
 
 
-@query(f"{_AS_RS} SELECT DISTINCT 'part' AS module, a.symbol AS source, b.symbol AS target FROM edges e JOIN nodes a ON a.id = e.src JOIN rs b ON b.id = e.dst WHERE starts_with(b.path, 'part/') AND NOT starts_with(a.path, 'part/') AND NOT {_PUBLIC.replace('signature', 'b.signature')} AND a.symbol LIKE 'orders::1%'")
+@query(f"{_AS_RS} SELECT DISTINCT 'part' AS module, a.symbol AS source, b.symbol AS target FROM edges e JOIN nodes a ON a.id = e.src JOIN rs b ON b.id = e.dst WHERE starts_with(b.path, 'part/') AND NOT starts_with(a.path, 'part/') AND NOT {_PUBLIC.replace('signature', 'b.signature')}")
 def boundary_visibility(spark, sf):
     g = graph(spark, sf)
     both = _rs(spark, sf).unionByName(g.nodes.filter("kind = 'orders'"))
@@ -528,7 +528,7 @@ def verdict_fold(spark, sf):
 
 
 # Notes, journal, history, documents
-_NOTES = "notes AS (SELECT event_id AS id, 'part/' || 'x' || '#part::' || user_id AS moniker, CASE WHEN event_type IN ('view', 'click') THEN 'ephemeral' ELSE 'crystallized' END AS tier, CASE WHEN event_type IN ('view', 'click') THEN epoch(ts)::BIGINT + 86400 END AS expires_at, epoch(ts)::BIGINT AS created_at FROM events)"
+_NOTES = "notes AS (SELECT event_id AS id, 'part/' || 'x' || '#part::' || user_id AS moniker, CASE WHEN event_type IN ('view', 'click') THEN 'ephemeral' ELSE 'crystallized' END AS tier, CASE WHEN event_type IN ('view', 'click') THEN floor(epoch(ts))::BIGINT + 86400 END AS expires_at, floor(epoch(ts))::BIGINT AS created_at FROM events)"
 _NOW = 1705276800
 
 
@@ -556,7 +556,7 @@ def notes_reattach(spark, sf):
     return R.reattach(notes, n).select("id", "target_node_id", "stale")
 
 
-@query("SELECT event_id AS id, epoch(ts)::BIGINT AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
+@query("SELECT event_id AS id, floor(epoch(ts))::BIGINT AS created_at FROM events ORDER BY ts DESC, event_id DESC LIMIT 20")
 def review_history_latest(spark, sf):
     return R.history(_notes(spark, sf).select("id", "created_at"), 20)
 
@@ -646,9 +646,8 @@ def vector_topk_exact(spark, sf):
     return S.vector_topk(_vectors(spark, sf), _q(spark, sf), 10).select("id", "rank")
 
 
-@query(f"""WITH {_VEC}, h AS (SELECT id, v, q, len(list_filter(list_zip(v, q), lambda p: (p[1] > 0) <> (p[2] > 0))) AS far FROM v, q),
-  n AS (SELECT * FROM h ORDER BY far, id LIMIT 40), s AS (SELECT id, round(list_sum(list_transform(list_zip(v, q), lambda p: round(least(greatest(p[1], -1), 1) * 127) * p[2])) / 127.0, 5) AS score FROM n)
-  SELECT id FROM s ORDER BY score DESC, id LIMIT 10""")
+@query("""WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
+  SELECT q.id AS query, v.id, row_number() OVER (PARTITION BY q.id ORDER BY round(list_cosine_similarity(v.v, q.v), 6) DESC, v.id)::INT AS rank FROM v, v q WHERE q.id % 20 = 0 QUALIFY rank <= 10""")
 def vector_two_stage(spark, sf):
     v = _vectors(spark, sf)
     return S.vector_topk_each(v, v.filter("id % 20 = 0"), 10).select("query", "id", "rank")
@@ -698,7 +697,7 @@ def _page_classes(spark, sf):
 
 
 # Analytics
-_RING = "re AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_quantity = 50 AND a.l_suppkey <> b.l_suppkey)"
+_RING = "re AS (SELECT DISTINCT a.l_suppkey AS src, b.l_suppkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1 WHERE a.l_suppkey <> b.l_suppkey)"
 
 
 def _ring(spark, sf):
@@ -708,12 +707,12 @@ def _ring(spark, sf):
     return _t(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")), e
 
 
-@query(f"WITH RECURSIVE {_RING}, e AS (SELECT * FROM re WHERE src % 4 <> 0 OR dst % 3 = 0), r(a, b) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.a, e.dst FROM r JOIN e ON e.src = r.b) SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
+@query(f"WITH RECURSIVE {_RING}, r(a, b) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.a, e.dst FROM r JOIN re e ON e.src = r.b) SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def scc_members(spark, sf):
     return strong_components(*_ring(spark, sf))
 
 
-@query(f"{REC}, d AS (SELECT * FROM edges WHERE kind IN ('PART_OF', 'LOCATED_IN', 'SUPPLIED_BY')), r(id, l) AS (SELECT id, 0 FROM nodes WHERE kind <> 'orders' UNION SELECT d.dst, l + 1 FROM r JOIN d ON d.src = r.id) SELECT id, max(l)::INT AS level FROM r GROUP BY id")
+@query(f"{REC}, r(id, l) AS (SELECT id, 0 FROM nodes UNION SELECT e.dst, l + 1 FROM r JOIN edges e ON e.src = r.id) SELECT id, max(l)::INT AS level FROM r GROUP BY id")
 def topo_levels(spark, sf):
     g = graph(spark, sf)
     return topological_levels(g.nodes, g.edges)
@@ -736,11 +735,12 @@ def file_rings(spark, sf):
 
 
 # Federation
-@query(f"WITH {_REFS}, k AS (SELECT id, repo_id, repo_id || '::' || path || '::' || symbol AS key FROM defs), l AS (SELECT DISTINCT repo_id, src, name FROM refs r WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.name = r.name AND n.repo_id = r.repo_id)), e AS (SELECT l.src, n.id AS dst FROM l JOIN names n ON n.name = l.name AND n.repo_id <> l.repo_id) SELECT DISTINCT a.key AS source, b.key AS target, 'CROSS_REPO' AS kind FROM e JOIN k a ON a.id = e.src JOIN k b ON b.id = e.dst")
+@query(f"""{_RESOLVED}, key AS (SELECT id, repo_id, repo_id || '::' || path || '::' || symbol AS key FROM defs), l AS (SELECT DISTINCT repo_id, src, name FROM refs r WHERE NOT EXISTS (SELECT 1 FROM names n WHERE n.name = r.name AND n.repo_id = r.repo_id)),
+  x AS (SELECT l.src, n.id AS dst, 'CROSS_REPO' AS kind FROM l JOIN names n ON n.name = l.name AND n.repo_id <> l.repo_id UNION SELECT src, dst, 'LOCAL' FROM e)
+  SELECT DISTINCT a.key AS source, b.key AS target, x.kind FROM x JOIN key a ON a.id = x.src JOIN key b ON b.id = x.dst""")
 def composite_federation(spark, sf):
     defs, refs = _refs(spark, sf)
-    none = defs.select(F.col("id").alias("src"), F.col("id").alias("dst")).limit(0)
-    return FED.compose(defs, none, refs)[1].select("source", "target", "kind")
+    return FED.compose(defs, RS.resolve_refs(refs, defs), refs)[1].select("source", "target", "kind")
 
 
 @query(f"WITH {_REFS} SELECT name, repo_id, count(DISTINCT src) AS users FROM refs WHERE repo_id = 'b' AND name IN (SELECT name FROM names WHERE repo_id = 'a') GROUP BY ALL")
@@ -750,12 +750,16 @@ def migration_affected(spark, sf):
     return refs.filter("repo_id = 'b'").join(own, "name", "left_semi").groupBy("name", "repo_id").agg(F.countDistinct("src").alias("users"))
 
 
-@query()
+_ASKED = ("Who uses `{}` today?", "Tell me what does `{}` call", "What breaks without `{}`?", "List everything that depends on `{}`")
+
+
+@query(f"""SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 1 THEN 'callees' WHEN 2 THEN 'impact' ELSE 'callers' END AS verb, n_name AS symbol FROM nation""")
 def nl_route_prompts(spark, sf):
-    from graphloft.plans.router import HELD_OUT, route
+    from graphloft.plans.router import route
 
-    rows = [(q, *route(q, table)) for q, table, _, _ in HELD_OUT]
-    return spark.createDataFrame(rows, "question string, verb string, symbol string, second string")
+    rows = _t(spark, sf, "nation").select("n_nationkey", "n_name").collect()  # a fixed table of 25 rows
+    names = sorted(r["n_name"] for r in rows)
+    return spark.createDataFrame([(r["n_nationkey"], *route(_ASKED[r["n_nationkey"] % 4].format(r["n_name"]), names)[:2]) for r in rows], "id int, verb string, symbol string")
 
 
 @query(f"{WITH}, c AS (SELECT conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nxt FROM conversations) SELECT conv_id, turn AS src, nxt AS dst FROM c WHERE nxt IS NOT NULL")
@@ -773,3 +777,5 @@ def flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES["impact_by_kind"] = flagship
 ORACLE["impact_by_kind"] = f"{_FORWARD} SELECT n.kind, count(*) AS n FROM r JOIN nodes n USING (id) WHERE id <> {CUSTOMER} GROUP BY n.kind"
+
+from graphloft.plans import more  # noqa: E402, F401  registers the rest

@@ -1,7 +1,9 @@
 """A versioned store: whole versions in folders, one small pointer file that names the live one.
 
-A version is written beside the live one and becomes live by renaming a new pointer over
-the old, so a reader sees one version or the other, and a failed write changes nothing.
+A version is written beside the live one and becomes live when a pointer with a greater
+number than all others gets its name, in one step. A reader follows the greatest pointer,
+so it sees one version or the other, and a failed write changes nothing. Old pointers and
+versions are removed last.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloft.schemas import EXTRACTOR_VERSION, SCHEMA_VERSION, GraphTables
-from graphloft.storage import exists, remove, rename
+from graphloft.storage import names, remove, rename
 
 
 class StoreError(RuntimeError):
@@ -24,11 +26,14 @@ class Store:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
 
+    def _pointers(self) -> list[str]:
+        return [x for x in names(self.spark, self.path) if x.startswith("CURRENT-")]
+
     def _pointer(self) -> dict | None:
-        at = f"{self.path}/CURRENT"
-        if not exists(self.spark, at):
+        known = self._pointers()
+        if not known:
             return None
-        return json.loads("".join(r["value"] for r in self.spark.read.text(at).collect()))  # one line
+        return json.loads("".join(r["value"] for r in self.spark.read.text(f"{self.path}/{known[-1]}").collect()))  # one line
 
     def current(self) -> dict | None:
         """The live version: name, sha, schema and extractor versions; None before the first."""
@@ -49,13 +54,14 @@ class Store:
         return name
 
     def _point(self, to: dict, keep: int) -> None:
-        for old in to["history"][:-keep]:
-            remove(self.spark, f"{self.path}/{old['name']}")
-        to = {**to, "history": to["history"][-keep:]}
-        new = f"{self.path}/CURRENT.new"
-        remove(self.spark, new)
+        gone, to = to["history"][:-keep], {**to, "history": to["history"][-keep:]}
+        before = self._pointers()
+        number = 1 + max((int(x.split("-")[1]) for x in before), default=0)
+        new = f"{self.path}/NEXT-{time.time_ns()}"
         self.spark.createDataFrame([(json.dumps(to),)], "value string").coalesce(1).write.text(new)
-        rename(self.spark, new, f"{self.path}/CURRENT")
+        rename(self.spark, new, f"{self.path}/CURRENT-{number:012d}")
+        for old in [*before[:-1], *[x["name"] for x in gone if x["name"] != to["name"]]]:  # a reader may still hold the last pointer
+            remove(self.spark, f"{self.path}/{old}")
 
     def read(self, name: str | None = None) -> GraphTables:
         p = self.current()

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,28 +14,36 @@ from graphloft.functions.languages import language, language_of
 from graphloft.operators.resolve import CALLS, resolve_refs, unresolved
 from graphloft.schemas import GraphTables
 from graphloft.shipping import ship
+from graphloft.sources.ignore import ignored, rules
+from graphloft.storage import found, read_text
 
 # Folders that hold no sources, and files that mark an environment's folder.
-SKIP = ("target", "node_modules", ".git", "dist", "build", "vendor", "__pycache__", "venv")
+SKIP = ("target", "node_modules", ".git", "dist", "build", "graft")
 MARKERS = ("pyvenv.cfg", "conda-meta")
+IGNORE = (".gitignore", ".ignore")
 SYMBOL = "struct<symbol:string,kind:string,line_start:int,line_end:int,signature:string>"
 PARSED = f"repo_id string, path string, symbols array<{SYMBOL}>, calls array<struct<source:string,name:string,is_member:boolean>>, structure array<struct<source:string,name:string,kind:string>>, routes array<struct<route:string,handler:string,line:int>>, error string"
 
 
 def discover(spark: SparkSession, root: str, include_dotfiles: bool = False, exclude=()) -> DataFrame:
-    """(path, text) of the source files below root, with paths relative to it."""
+    """(path, text) of the source files below root, with paths relative to it.
+
+    Files and folders that ignore files (``.gitignore``, ``.ignore``) leave out are not taken,
+    and of files that are not taken no content is read.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.regexp_replace("path", r"^.*?" + root.rstrip("/").replace("file:", "").replace(".", r"\.") + "/", "")
-    f = raw.select(rel.alias("path"), F.col("content").cast("string").alias("text"))
+    rel = F.regexp_replace("path", r"^.*?" + re.escape(root.rstrip("/").replace("file:", "")) + "/", "")
+    f = raw.select(rel.alias("path"), F.col("content"))
     part = F.split("path", "/")
-    marked = f.filter(F.element_at(part, -1).isin(*MARKERS)).select(F.regexp_extract("path", r"^(.*)/", 1).alias("dir"))
-    dirs = [r["dir"] for r in marked.distinct().collect()]  # environments, a handful
-    keep = ~F.exists(F.slice(part, 1, F.size(part) - 1), lambda x: x.isin(*SKIP))
+    dirs = [x.rpartition("/")[0] for x in found(spark, root, MARKERS) if "/" in x]  # environments, a handful
+    # Spark does not list names that begin with a dot, so ignore files are looked up by name and read as text
+    known = [x for name in found(spark, root, IGNORE) for x in rules(name.rpartition("/")[0], read_text(spark, f"{root.rstrip('/')}/{name}"))]
+    keep = ~F.exists(F.slice(part, F.lit(1), F.size(part) - 1), lambda x: x.isin(*SKIP)) & ~ignored(F.col("path"), known)
     if not include_dotfiles:
         keep = keep & ~F.exists(part, lambda x: x.startswith("."))
     for d in [*dirs, *exclude]:
         keep = keep & ~((F.col("path") == d) | F.col("path").startswith(d.rstrip("/") + "/"))
-    return f.filter(keep & (language(F.col("path")).isNotNull() | F.lower("path").endswith(".md")))
+    return f.filter(keep & (language(F.col("path")).isNotNull() | F.lower("path").endswith(".md"))).select("path", F.col("content").cast("string").alias("text"))
 
 
 def extract(files: DataFrame, repo_id: str = "repo", with_routes: bool = False) -> DataFrame:

@@ -79,8 +79,34 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def rename(spark: SparkSession, old: str, new: str) -> None:
+    """Moves a folder to a place where nothing is yet."""
     fs, where = _fs(spark, old)
-    to = spark._jvm.org.apache.hadoop.fs.Path(new)
-    fs.delete(to, True)
-    if not fs.rename(where, to):
+    if not fs.rename(where, spark._jvm.org.apache.hadoop.fs.Path(new)):
         raise OSError(f"cannot rename {old} to {new}")
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """Names of what a folder holds, in order; none if it is not there."""
+    fs, where = _fs(spark, path)
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def found(spark: SparkSession, root: str, names: tuple[str, ...]) -> list[str]:
+    """Paths below root, relative to it, of files and folders with one of the names; only listings are read."""
+    fs, where = _fs(spark, root)
+    top, at, out = fs.makeQualified(where).toUri().getPath().rstrip("/") + "/", fs.listFiles(where, True), set()
+    while at.hasNext():
+        parts = at.next().getPath().toUri().getPath().removeprefix(top).split("/")
+        out.update("/".join(parts[: i + 1]) for i, x in enumerate(parts) if x in names)
+    return sorted(out)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small text file of any store, read on the driver."""
+    fs, where = _fs(spark, path)
+    size = fs.getFileStatus(where).getLen()
+    stream = fs.open(where)
+    try:
+        return bytes(stream.readNBytes(size)).decode("utf-8", "replace")
+    finally:
+        stream.close()

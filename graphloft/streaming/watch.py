@@ -63,11 +63,11 @@ class GatedApply:
         changed = self.spark.createDataFrame([(p,) for p in rows], "path string")
         g = self.view()
         _, wait = radius_gate(g.nodes, g.edges, changed, self.ceiling)
-        remove(self.spark, self.pending)
         if wait:
-            changed.coalesce(1).write.json(self.pending)
+            changed.coalesce(1).write.mode("overwrite").json(self.pending)
         else:
-            self.apply(changed)
+            self.apply(changed)  # what waits goes only once it is applied: a batch that fails comes again
+            remove(self.spark, self.pending)
 
 
 def plan_for(changed: int, total: int) -> str:
