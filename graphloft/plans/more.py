@@ -16,8 +16,8 @@ from graphloft.operators import traverse as T
 from graphloft.plans import registry as Q
 from graphloft.plans.query import resolve_symbol
 from graphloft.plans.registry import CUSTOMER, SUPPLIER, WITH, query
-from graphloft.schemas import GraphTables
-from graphloft.sources import ignore, otlp, repository
+from graphloft.plans.samples import SOURCES
+from graphloft.sources import files, ignore, otlp, repository
 from graphloft.sources.projection import graph
 
 
@@ -320,3 +320,46 @@ def submodule_states(spark, sf):
     modules = repository.submodules(n.select(F.concat(key, F.lit("/.gitmodules")).alias("file"), text.alias("text"))).drop("file")
     status = n.select(F.concat(mark, F.lit("0123abcd lib/"), key, F.lit(" (heads/main)")).alias("value"))
     return repository.submodule_states(modules, status, n.filter("n_nationkey % 5 = 2").select(F.concat(F.lit("lib/"), key).alias("path")))
+
+
+# Extraction: a file of each language for each supplier
+_SYMBOLS = "VALUES " + ", ".join(f"('{end}', '{symbol}', '{kind}', {first}, {last})" for end, (_, symbols) in SOURCES.items() for symbol, kind, first, last in symbols)
+
+
+def _sources(spark, sf):
+    key = F.col("s_suppkey").cast("string")
+    texts = F.array(*[F.struct(F.concat(F.lit("src/"), key, F.lit(f".{end}")).alias("path"), F.replace(F.lit(text), F.lit("K"), key).alias("text")) for end, (text, _) in SOURCES.items()])
+    return Q._t(spark, sf, "supplier").select(F.explode(texts).alias("f")).select("f.*")
+
+
+@query(f"WITH v(e, s, k, a, b) AS ({_SYMBOLS}) SELECT 'src/' || s_suppkey || '.' || e AS path, replace(s, 'K', s_suppkey::VARCHAR) AS symbol, k AS kind, a::INT AS line_start, b::INT AS line_end FROM supplier, v")
+def extract_symbols(spark, sf):
+    return files.build(files.extract(_sources(spark, sf))).nodes.select("path", "symbol", "kind", "line_start", "line_end")
+
+
+@query(f"""WITH v(e, s, k, a, b) AS ({_SYMBOLS}), n AS (SELECT 'src/' || s_suppkey || '.' || e AS path, replace(s, 'K', s_suppkey::VARCHAR) AS symbol FROM supplier, v)
+  SELECT x.path, x.symbol AS source, y.symbol AS target, 'CALLS_EXACT' AS kind, 'SAME_FILE_EXACT' AS resolution_kind FROM n x JOIN n y ON x.path = y.path AND lower(string_split(x.symbol, '::')[-1]) LIKE 'open%' AND lower(string_split(y.symbol, '::')[-1]) LIKE 'helper%'""")
+def extract_calls(spark, sf):
+    g = files.build(files.extract(_sources(spark, sf)))
+    name = lambda end, as_: g.nodes.select(F.col("id").alias(end), F.col("path").alias(f"{as_}_path"), F.col("symbol").alias(as_))
+    e = g.edges.join(name("src", "source"), "src").join(name("dst", "target"), "dst")
+    return e.select(F.col("source_path").alias("path"), "source", "target", "kind", "resolution_kind")
+
+
+@query("SELECT 'notes/' || s_suppkey || '.md' AS path, 'T' || s_suppkey AS heading, 'Note ' || s_nationkey AS link, 'a.b' || s_suppkey || '()' AS code, 2::BIGINT AS tags FROM supplier")
+def markdown_notes(spark, sf):
+    key, nation = F.col("s_suppkey").cast("string"), F.col("s_nationkey").cast("string")
+    text = F.concat(F.lit("---\ntags: [red, blue]\n---\n# T"), key, F.lit("\n\nsee [[Note "), nation, F.lit("]] and `a.b"), key, F.lit("()`\n"))
+    f = Q._t(spark, sf, "supplier").select(F.concat(F.lit("notes/"), key, F.lit(".md")).alias("path"), text.alias("text"))
+    n = files.notes(f)
+    return n.select("path", F.col("headings")[0]["title"].alias("heading"), F.col("links")[0]["target"].alias("link"), F.col("code_refs")[0]["text"].alias("code"), F.size("tags").cast("long").alias("tags"))
+
+
+@query("SELECT s_suppkey + 0 AS supplier, 'fn f' || s_suppkey || '() {' || chr(10) || '    1' || chr(10) || '}' AS body, '/// says ' || s_name || chr(10) || '// more' AS doc_comment FROM supplier")
+def symbol_texts(spark, sf):
+    """A symbol's own lines, and the comment right above it."""
+    s, key = Q._t(spark, sf, "supplier"), F.col("s_suppkey").cast("string")
+    path = F.concat(F.lit("src/"), key, F.lit(".rs"))
+    f = s.select(path.alias("path"), F.concat(F.lit("use x;\n\n/// says "), "s_name", F.lit("\n// more\nfn f"), key, F.lit("() {\n    1\n}\n")).alias("text"))
+    n = s.select(F.col("s_suppkey").alias("id"), path.alias("path"), F.lit(5).alias("line_start"), F.lit(7).alias("line_end"))
+    return files.spans_text(n, f).select(F.col("id").alias("supplier"), "body", "doc_comment")
