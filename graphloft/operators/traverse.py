@@ -3,8 +3,9 @@
 One search serves every operator: it starts from any number of seeds and returns each node
 reached once, with its level and the edge that discovered it (the least by source id, then
 kind), so that results do not depend on the order of rows. Two executions share these
-rules. The distributed one extends a frontier by a join and an anti join per level, with
-levels written to shared storage. Up to ``LOCAL_EDGES`` distinct edges (counted first) the
+rules. The distributed one keeps edges sorted by source; a frontier of up to ``SMALL_FRONT``
+nodes is looked up by value, which reads the row groups that hold it, and a larger one is
+extended by a join and an anti join per level, with levels written to shared storage. Up to ``LOCAL_EDGES`` distinct edges (counted first) the
 adjacency fits in the driver, and searching it there takes no jobs per level.
 """
 
@@ -18,6 +19,8 @@ from graphloft.storage import stage
 
 #: Edges up to which a search runs on a collected adjacency.
 LOCAL_EDGES = 1_000_000
+#: Nodes of a frontier, and nodes found in all, up to which levels are kept in the driver.
+SMALL_FRONT, SMALL_REACH = 2_000, 100_000
 REACHED = "id long, level int, pred long, edge_kind string, resolution_kind string"
 
 
@@ -77,11 +80,20 @@ def search(edges: DataFrame, seeds: DataFrame, hops: int | None = None, local_ed
     spark = edges.sparkSession
     e = _typed(edges).filter("src IS NOT NULL AND dst IS NOT NULL")
     seeds = seeds.select(F.col("id").cast("long").alias("id")).filter("id IS NOT NULL").distinct()
-    if e.limit(local_edges + 1).count() <= local_edges and len(few := seeds.limit(local_edges + 1).collect()) <= local_edges:
+    e = e.repartition("src").groupBy("src", "dst").agg(F.min(F.struct("kind", "resolution_kind")).alias("k")).select("src", "dst", "k.*")
+    e = stage(e.sortWithinPartitions("src"), "bfs-edge")  # made once; its count comes from the files' footers
+    if e.count() <= local_edges and len(few := seeds.limit(local_edges + 1).collect()) <= local_edges:
         return _local(spark, e, [r["id"] for r in few], hops)
-    e = stage(e.groupBy("src", "dst").agg(F.min(F.struct("kind", "resolution_kind")).alias("k")).select("src", "dst", "k.*"), "bfs-edge")
-    front = stage(seeds.select("id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("pred"), F.lit(None).cast("string").alias("edge_kind"), F.lit(None).cast("string").alias("resolution_kind")), "bfs-0")
-    levels, depth = [front], 0
+    begin = [r["id"] for r in seeds.limit(SMALL_FRONT + 1).collect()]
+    if len(begin) <= SMALL_FRONT:
+        rows, front, depth = _small(e, begin, hops)
+        if not front:
+            return spark.createDataFrame(rows, REACHED)
+        known = stage(spark.createDataFrame(rows, REACHED), "bfs-0")
+        front, levels = known.filter(F.col("level") == depth), [known]
+    else:
+        front = stage(seeds.select("id", F.lit(0).alias("level"), F.lit(None).cast("long").alias("pred"), F.lit(None).cast("string").alias("edge_kind"), F.lit(None).cast("string").alias("resolution_kind")), "bfs-0")
+        levels, depth = [front], 0
     while hops is None or depth < hops:
         depth += 1
         seen = levels[0].select("id")
@@ -99,6 +111,25 @@ def search(edges: DataFrame, seeds: DataFrame, hops: int | None = None, local_ed
     return out
 
 
+def _small(e: DataFrame, seeds: list[int], hops: int | None) -> tuple[list[tuple], list[int], int]:
+    """(rows found, last level's ids if the search must go on, its depth), level by level while they are few."""
+    rows, front, depth = [(i, 0, None, None, None) for i in seeds], seeds, 0
+    seen = set(seeds)
+    while front and (hops is None or depth < hops):
+        if len(front) > SMALL_FRONT or len(rows) > SMALL_REACH:
+            return rows, front, depth
+        step = e.filter(F.col("src").isin(front)).groupBy(F.col("dst").alias("id")).agg(F.min(F.struct("src", "kind", "resolution_kind")).alias("m"))
+        got = step.limit(SMALL_REACH + 1).collect()
+        if len(got) > SMALL_REACH:
+            return rows, front, depth
+        depth += 1
+        new = [(r["id"], depth, r["m"]["src"], r["m"]["kind"], r["m"]["resolution_kind"]) for r in got if r["id"] not in seen]
+        front = [r[0] for r in new]
+        seen.update(front)
+        rows += new
+    return rows, [], depth
+
+
 def reachable_within(edges: DataFrame, seeds: DataFrame, hops: int | None = None) -> DataFrame:
     """Nodes that seeds lead to, seeds included."""
     return search(edges, seeds, hops)

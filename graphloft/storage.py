@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,12 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see (spark.checkpoint.dir).
 
-    Where nothing is named (tests on one machine) a temporary folder is made once for
-    the session's context.
+    Where nothing is named a temporary folder is made once for the session's context, on one
+    machine (tests) only: executors elsewhere would each see a folder of their own.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors see")
     own = getattr(spark.sparkContext, "_graphloft_shared", None)
     if own is None:
         own = tempfile.mkdtemp(prefix="graphloft-")

@@ -86,3 +86,18 @@ def test_questions_are_grounded_in_all_symbols(spark, graph):
 
 def test_names_of_a_folder(spark, tmp_path):
     assert storage.names(spark, str(tmp_path / "none")) == []
+
+
+@pytest.mark.parametrize("front,reach", [(2_000, 100_000), (1, 100_000), (3, 4), (0, 0)])
+def test_search_by_value_and_by_join_agree(spark, graph, monkeypatch, front, reach):
+    import random
+
+    rng = random.Random(4)
+    pairs = [(rng.randrange(40), rng.randrange(40), rng.choice("AB"), rng.choice("XY")) for _ in range(70)]
+    g = graph(list(range(40)), pairs)
+    monkeypatch.setattr(traverse, "SMALL_FRONT", front)
+    monkeypatch.setattr(traverse, "SMALL_REACH", reach)
+    seed = spark.createDataFrame([(pairs[0][0],), (pairs[1][0],)], "id long")
+    for hops in (None, 0, 2):
+        want = sorted(traverse.search(g.edges, seed, hops, local_edges=1000).collect())
+        assert sorted(traverse.search(g.edges, seed, hops, local_edges=0).collect()) == want
