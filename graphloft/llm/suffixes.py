@@ -46,7 +46,7 @@ from graphloft.shipping import ship
 SPAN = 100
 GRAM = 32
 #: Bytes of text that a task sorts at once, unless one key has more; queue entries held in memory.
-SHARD, HELD = 3 << 20, 8 << 20
+SHARD, HELD = 3 << 20, 1 << 20
 LAST = 2**63 - 1
 
 

@@ -39,6 +39,8 @@ END = "\r\n\r\n"
 REVISIT = 100
 #: Records of one file, at most, for payloads up to so many bytes: a file fits in a task's memory.
 RECORDS = ((1 << 16, 1000), (1 << 20, 64), (None, 4))
+#: Date of records where none is given: the pages table has none, and reruns must agree.
+DATE = "2000-01-01T00:00:00Z"
 #: Repeated payloads up to which their table is sent to every task.
 FEW = 200_000
 _FIELDS = {b"WARC-Type": "record_type", b"WARC-Record-ID": "page_id", b"WARC-Refers-To": "refers_to", b"WARC-Payload-Digest": "payload_digest", b"X-Payload-Length": "payload_bytes"}
@@ -65,8 +67,8 @@ def rows(pages: DataFrame) -> tuple[DataFrame, bool]:
     return b, not least.filter("_twins").isEmpty()
 
 
-def write(pages: DataFrame, path: str, records=RECORDS) -> None:
-    """Writes pages as WARC files below path."""
+def write(pages: DataFrame, path: str, records=RECORDS, date: str = DATE) -> None:
+    """Writes pages as WARC files below path, all records with one date."""
     a, twins = rows(pages)
     b = a
     if twins:  # rows that share even their id are told apart by number; only they are sorted
@@ -79,7 +81,7 @@ def write(pages: DataFrame, path: str, records=RECORDS) -> None:
     body = F.when(F.col("again"), F.lit("")).otherwise(F.col("payload"))
     record = F.concat(
         F.lit(MAGIC.decode()), line("WARC-Type", F.when(F.col("again"), "revisit").otherwise("response")), line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), name, F.lit(">"))),
-        line("WARC-Target-URI", clean), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), line("X-Payload-Length", F.col("payload_bytes").cast("string")),
+        line("WARC-Date", F.lit(date)), line("WARC-Target-URI", clean), line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "payload_digest")), line("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.when(F.col("again"), line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("refers_to").cast("string"), F.lit("")), F.lit(">")))).otherwise(""),
         line("Content-Length", F.octet_length(body).cast("string")), F.lit("\r\n"), body,
     )
