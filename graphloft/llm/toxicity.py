@@ -97,14 +97,18 @@ class Network:
     def score(self, ids, starts) -> np.ndarray:
         """Of each text; responses are made for TILE places at a time, so that memory does not follow a text's length."""
         best = np.full((len(starts), len(WIDTHS) * FILTERS), -1e9, np.float32)
+        ends = np.append(starts[1:], len(ids))
         for lo in range(0, len(ids), TILE):
             hi = min(lo + TILE, len(ids))
             part = ids[lo : hi + PAD]
             first = int(np.searchsorted(starts, lo, "right")) - 1
             last = int(np.searchsorted(starts, hi, "left"))
             cut = np.maximum(starts[first:last], lo) - lo
-            for k, y in enumerate(self.responses(part)):
+            for k, (w, y) in enumerate(zip(WIDTHS, self.responses(part))):
                 y = y[: hi - lo]
+                for j in range(1, w):  # a filter that starts in a text's last places would see the next text
+                    over = ends - j - lo
+                    y[over[(over >= 0) & (over < len(y))]] = -1e9
                 if len(y) < hi - lo:  # places at the very end see padding only
                     y = np.concatenate([y, np.full((hi - lo - len(y), FILTERS), -1e9, y.dtype)])
                 own = best[first:last, k * FILTERS : (k + 1) * FILTERS]
@@ -134,7 +138,7 @@ def fit(texts: list[str], labels: np.ndarray, share: float = 1.0, seed: int = 7)
             best = np.empty((len(batch), field), np.float32)
             for k, y in enumerate(ys):
                 for d in range(len(batch)):
-                    part = y[starts[d] : min(starts[d + 1], len(y))]
+                    part = y[starts[d] : starts[d + 1] - WIDTHS[k] + 1]  # inside the text and its padding
                     a = part.argmax(0)
                     pos[d, k * FILTERS : (k + 1) * FILTERS] = starts[d] + a
                     best[d, k * FILTERS : (k + 1) * FILTERS] = part[a, np.arange(FILTERS)]

@@ -238,6 +238,17 @@ def test_toxicity_cases(docs, empty):
     assert toxicity.train([]) == (None, {}) and not toxicity.score_texts(None, ["a"]).any()
 
 
+def test_toxicity_scores_do_not_depend_on_neighbours():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in rng.integers(0, 9, 300)]
+    for seed in range(3):
+        net = toxicity.Network(seed)
+        alone = np.array([toxicity.score_texts(net, [x])[0] for x in texts])
+        order = rng.permutation(len(texts))
+        assert np.allclose(toxicity.score_texts(net, texts), alone, atol=1e-6)
+        assert np.allclose(toxicity.score_texts(net, [texts[i] for i in order]), alone[order], atol=1e-6)
+
+
 def test_toxicity_scores_do_not_depend_on_tiles(monkeypatch):
     net, rng = toxicity.Network(3), np.random.default_rng(3)
     texts = [" ".join(f"w{x}" for x in rng.integers(0, 500, n)) for n in (0, 1, 5, 63, 64, 65, 700, 2)]
