@@ -342,7 +342,8 @@ def links(docs: DataFrame, known: DataFrame, spark: SparkSession) -> DataFrame |
     alone = each.groupBy("x").agg(F.min("mark").alias("mark"), F.max("mark").alias("hi")).filter("mark = hi").groupBy("mark").agg(F.count(F.lit(1)).alias("alone"))
     p, least = probe(F.col("n"))
     own = rows.groupBy("mark").agg(F.first("n").alias("n"), F.coalesce(F.min("doc_id"), F.lit(-(2**63))).alias("id"))
-    chosen = own.join(alone, "mark", "left").filter(p - F.coalesce("alone", F.lit(0)) >= least).select("mark", "id")
+    # written by itself, so that the probe's shuffle is gone before texts move
+    chosen = stage(own.join(alone, "mark", "left").filter(p - F.coalesce("alone", F.lit(0)) >= least).select("mark", "id"), "jac-chosen")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("id"), "text")
     name = f"jaccard_sets_{uuid.uuid4().hex[:12]}"
     n = parts(spark)
