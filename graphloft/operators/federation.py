@@ -7,18 +7,32 @@ from pyspark.sql import functions as F
 
 from graphloft.functions.text import composite_key, short_name
 from graphloft.operators.analytics import strong_components, topological
-from graphloft.operators.resolve import cross_repo
+from graphloft.operators.resolve import cross_repo, links, targets, unknown_at_home
 
 
-def compose(nodes: DataFrame, edges: DataFrame, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(nodes with key, edges between keys: LOCAL ones as they are, CROSS_REPO ones from unresolved refs)."""
+def compose(nodes: DataFrame, edges: DataFrame | None, refs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes with key, edges between keys: LOCAL ones as they are, CROSS_REPO ones from unresolved refs).
+
+    Without edges, LOCAL ones are what refs resolve to. Links to all symbols of a name are reduced to
+    different keys on both sides before they are paired, as many symbols can have one key.
+    """
     keyed = nodes.withColumn("key", composite_key(F.col("repo_id"), F.col("path"), F.col("symbol")))
     k = keyed.select("id", "key", "repo_id")
-    local = edges.select("src", "dst", F.lit("LOCAL").alias("kind"))
-    across = cross_repo(refs, nodes).select("src", "dst", "kind")
-    e = local.unionByName(across).distinct()
-    e = e.join(k.select(F.col("id").alias("src"), F.col("key").alias("source"), F.col("repo_id").alias("source_repo")), "src").join(k.select(F.col("id").alias("dst"), F.col("key").alias("target"), F.col("repo_id").alias("target_repo")), "dst")
-    return keyed, e.select("source", "target", "kind", "source_repo", "target_repo").distinct()
+    source = k.select(F.col("id").alias("src"), F.col("key").alias("source"), F.col("repo_id").alias("source_repo"))
+    target = k.select(F.col("id").alias("dst"), F.col("key").alias("target"), F.col("repo_id").alias("target_repo"))
+    # names with a symbol of their own repository are no refs across, so those left are linked to all that have a repository
+    across = unknown_at_home(refs, nodes).filter("repo_id IS NOT NULL").select("src", "name", F.lit("CROSS_REPO").alias("kind"))
+    if edges is None:
+        found = links(refs, nodes)
+        edges = found.filter("NOT many")
+        across = across.unionByName(found.filter("many").select("src", "name", F.lit("LOCAL").alias("kind")))
+    columns = ("source", "target", "kind", "source_repo", "target_repo")
+    e = edges.select("src", "dst", F.lit("LOCAL").alias("kind")).distinct().join(source, "src").join(target, "dst").select(*columns)
+    ends = targets(nodes).select("name", "dst", F.col("dst_repo").isNotNull().alias("placed")).join(target, "dst")
+    ends = ends.groupBy("name", "target", "target_repo").agg(F.max("placed").alias("placed"))
+    starts = across.join(source, "src").select("source", "source_repo", "name", "kind").distinct()
+    paired = starts.join(ends, "name").filter("kind = 'LOCAL' OR placed").select(*columns)
+    return keyed, e.unionByName(paired).distinct()
 
 
 def repo_cycles(links: DataFrame) -> DataFrame:
