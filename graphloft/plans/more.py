@@ -329,7 +329,9 @@ _SYMBOLS = "VALUES " + ", ".join(f"('{end}', '{symbol}', '{kind}', {first}, {las
 def _sources(spark, sf):
     key = F.col("s_suppkey").cast("string")
     texts = F.array(*[F.struct(F.concat(F.lit("src/"), key, F.lit(f".{end}")).alias("path"), F.replace(F.lit(text), F.lit("K"), key).alias("text")) for end, (text, _) in SOURCES.items()])
-    return Q._t(spark, sf, "supplier").select(F.explode(texts).alias("f")).select("f.*")
+    # few bytes make many files, which are dealt out before they are parsed
+    keys = Q._t(spark, sf, "supplier").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    return keys.select(F.explode(texts).alias("f")).select("f.*")
 
 
 @query(f"WITH v(e, s, k, a, b) AS ({_SYMBOLS}) SELECT 'src/' || s_suppkey || '.' || e AS path, replace(s, 'K', s_suppkey::VARCHAR) AS symbol, k AS kind, a::INT AS line_start, b::INT AS line_end FROM supplier, v")

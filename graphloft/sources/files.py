@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloft.extract.scan import MODULE, markdown, parse, routes
@@ -15,7 +16,7 @@ from graphloft.operators.resolve import CALLS, resolve_refs, unresolved
 from graphloft.schemas import GraphTables
 from graphloft.shipping import ship
 from graphloft.sources.ignore import ignored, rules
-from graphloft.storage import found, read_text
+from graphloft.storage import found, read_text, stage
 
 # Folders that hold no sources, and files that mark an environment's folder.
 SKIP = ("target", "node_modules", ".git", "dist", "build", "graft")
@@ -67,15 +68,25 @@ def extract(files: DataFrame, repo_id: str = "repo", with_routes: bool = False)
 
 
 def _ids(nodes: DataFrame) -> DataFrame:
-    return nodes.withColumn("id", F.row_number().over(Window.partitionBy().orderBy("repo_id", "path", "line_start", "symbol")).cast("long"))
+    """Staged nodes, numbered from 1 by place: each part of the sorted table from where the parts before it end."""
+    order = F.monotonically_increasing_id()  # the part, and the row in it
+    n = stage(nodes.orderBy("repo_id", "path", "line_start", "symbol").withColumn("_at", order), "nodes")
+    part = F.shiftright("_at", 33)
+    sizes = sorted((r["part"], r["n"]) for r in n.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect())  # a row for each part
+    before = dict(zip([p for p, _ in sizes], itertools.accumulate((k for _, k in sizes), initial=0)))
+    starts = nodes.sparkSession.createDataFrame(list(before.items()), "_part long, _start long")
+    n = n.withColumn("_part", part).join(F.broadcast(starts), "_part")
+    return n.withColumn("id", F.col("_start") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1)
 
 
 def build(parsed: DataFrame, module_nodes: bool = False) -> GraphTables:
     """Nodes, edges, raw refs and unresolved names of extracted files.
 
     References from a file's top level have no symbol to start from and are dropped (their
-    unresolved names are not), unless module_nodes asks for one symbol per file.
+    unresolved names are not), unless module_nodes asks for one symbol per file. What was parsed is
+    staged: no file is parsed twice, and joins are planned by the size of symbols, not of sources.
     """
+    parsed = stage(parsed, "parsed")
     s = parsed.select("repo_id", "path", F.explode("symbols").alias("s")).select("repo_id", "path", "s.*")
     r = parsed.select("repo_id", "path", F.explode("routes").alias("r")).select("repo_id", "path", F.col("r.route").alias("symbol"), F.lit("route").alias("kind"), F.col("r.line").alias("line_start"), F.col("r.line").alias("line_end"), F.col("r.route").alias("signature"))
     s = s.unionByName(r)
