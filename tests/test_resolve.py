@@ -44,7 +44,7 @@ def shuffled(df):
     return total
 
 
-@pytest.mark.parametrize("name", ["affected_closure", "composite_federation"])
+@pytest.mark.parametrize("name", ["affected_closure", "composite_federation", "resolve_class_counts"])
 def test_hot_names_are_not_paired_in_a_shuffle(spark, hot, name):
     df = QUERIES[name](spark, hot)
     columns, want = expected(hot, name)
