@@ -4,6 +4,7 @@ from collections import Counter
 
 import pytest
 
+from graphloft.operators import resolve
 from graphloft.plans.registry import ORACLE, QUERIES
 
 PARTS = 1_500
@@ -44,10 +45,16 @@ def shuffled(df):
     return total
 
 
-@pytest.mark.parametrize("name", ["affected_closure", "composite_federation", "resolve_class_counts"])
+@pytest.mark.parametrize("name", ["affected_closure", "composite_federation", "resolve_class_counts", "resolve_refs"])
 def test_hot_names_are_not_paired_in_a_shuffle(spark, hot, name):
     df = QUERIES[name](spark, hot)
     columns, want = expected(hot, name)
     got = Counter(tuple(r[c] for c in columns) for r in df.collect())
     assert got == want
     assert 0 < shuffled(df) < 60 * PARTS
+
+
+def test_slices_of_a_name_lose_and_repeat_nothing(spark, hot, monkeypatch):
+    monkeypatch.setattr(resolve, "SLICE", 7)
+    columns, want = expected(hot, "resolve_refs")
+    assert Counter(tuple(r[c] for c in columns) for r in QUERIES["resolve_refs"](spark, hot).collect()) == want
