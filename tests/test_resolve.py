@@ -58,3 +58,12 @@ def test_slices_of_a_name_lose_and_repeat_nothing(spark, hot, monkeypatch):
     monkeypatch.setattr(resolve, "SLICE", 7)
     columns, want = expected(hot, "resolve_refs")
     assert Counter(tuple(r[c] for c in columns) for r in QUERIES["resolve_refs"](spark, hot).collect()) == want
+
+
+def test_pairs_are_dealt_out_evenly_and_take_little_space(spark, hot, tmp_path, monkeypatch):
+    monkeypatch.setattr(resolve, "LINKS", 100, raising=False)
+    QUERIES["resolve_refs"](spark, hot).write.parquet(out := str(tmp_path / "edges"))
+    rows = [n for _, n in spark.read.parquet(out).groupBy("_metadata.file_path").count().collect()]
+    size = sum(f.stat().st_size for f in (tmp_path / "edges").glob("part-*"))
+    assert sum(rows) > 600_000 and max(rows) < 0.6 * sum(rows)
+    assert size < 0.3 * sum(rows)
